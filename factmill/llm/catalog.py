@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from factmill.llm import packing, tokenizer
+from factmill.llm import packing, spans, tokenizer
 
 QUERIES = {
     "p6_ids": tokenizer.p6_ids,
     "p7_containers": packing.p7_containers,
     "p7_report": packing.p7_report,
+    "p8_found": spans.p8_found,
+    "p8_shared": spans.p8_shared,
 }
 
 SQL: dict[str, str] = {}
