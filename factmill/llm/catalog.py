@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from factmill.llm import packing, spans, tokenizer
+from factmill.llm import packing, spans, syntax, tokenizer
 
 QUERIES = {
+    "p3_found": syntax.p3_found,
+    "p3_rates": syntax.p3_rates,
     "p6_ids": tokenizer.p6_ids,
     "p7_containers": packing.p7_containers,
     "p7_report": packing.p7_report,
