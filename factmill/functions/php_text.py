@@ -53,9 +53,9 @@ def imports(text: Column, aliases: bool = True) -> Column:
 
 
 def resolve_class(name: Column, space: Column, known: Column) -> Column:
-    """Qualified name of a class as written: qualified names stay, others go by import, then by namespace."""
+    """Qualified name of a class as written: qualified names stay, others go by import, then by namespace. Null stays null."""
     bare = F.ltrim(F.trim(name), F.lit("\\"))
-    return F.when(F.contains(bare, F.lit("\\")), bare).otherwise(F.coalesce(F.try_element_at(known, bare), qualify(space, bare)))
+    return F.when(bare.isNull() | F.contains(bare, F.lit("\\")), bare).otherwise(F.coalesce(F.try_element_at(known, bare), qualify(space, bare)))
 
 
 def resolve_route_class(name: Column, known: Column) -> Column:

@@ -27,8 +27,8 @@ def _contract(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
     pdf = pdf.sort_values("id", kind="stable").reset_index(drop=True)
     ids = pdf["id"].to_numpy(np.int64)
     n = len(ids)
-    has = pdf["parent"].notna().to_numpy()
-    parent = pdf["parent"].fillna(0).to_numpy(np.int64)
+    has = pdf["has"].to_numpy(bool)
+    parent = pdf["parent"].to_numpy(np.int64)
     at = np.minimum(np.searchsorted(ids, parent), n - 1)
     inside = has & (ids[at] == parent)
     step = np.where(inside, at, np.arange(n))
@@ -39,8 +39,8 @@ def _contract(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
         dist, low, step = dist + dist[step], np.minimum(low, low[step]), step[step]
     ends, loops = ~inside[step], inside[step]
     leaves = ends & has[step]
-    own_root = pdf["root"].fillna(0).to_numpy(np.int64)
-    own_depth = pdf["depth"].fillna(0).to_numpy(np.int64)
+    own_root = pdf["root"].to_numpy(np.int64)
+    own_depth = pdf["depth"].to_numpy(np.int64)
     root = np.where(loops, low[step], own_root[step])
     depth = np.where(loops | (own_depth[step] < 0), -1, own_depth[step] + dist)
     seg = None
@@ -79,6 +79,9 @@ def _fragments(links: DataFrame, fragment_rows: int) -> DataFrame:
 
 def _solve(links: DataFrame, fragment_rows: int, with_path: bool, level: int) -> DataFrame:
     cut = _fragments(links, fragment_rows)
+    # pandas would turn a bigint column with nulls into floats
+    none = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("parent", "root", "depth", "local")}
+    cut = cut.withColumn("has", F.col("parent").isNotNull()).withColumns(none)
     parts = cut.groupBy("frag").applyInPandas(lambda pdf: _contract(pdf, with_path), _SHAPE)
     local = materialize(parts, f"fragments{level}")
     done = local.where(F.col("exit").isNull()).select("id", "root", "depth", "seg")

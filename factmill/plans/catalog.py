@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factmill.plans import pipeline_queries
+from factmill.plans import kernel_queries, pipeline_queries
 
-QUERIES = dict(pipeline_queries.QUERIES)
-SQL = dict(pipeline_queries.SQL)
+QUERIES = pipeline_queries.QUERIES | kernel_queries.QUERIES
+SQL = pipeline_queries.SQL | kernel_queries.SQL
