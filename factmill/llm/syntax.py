@@ -120,11 +120,11 @@ def checked_files(files: DataFrame) -> DataFrame:
     """(file_id, project_id, language, valid): each file once.
 
     ``valid`` is null for null texts and for texts nested too deep to tell; files
-    of other extensions, or without path, are left out. Of rows that repeat a
+    of other extensions, without path or without id are left out. Of rows that repeat a
     file_id with other content, a file is invalid if any of its texts is.
     """
     rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), "project_id", language_of("relative_path").alias("language"), F.col("source_text").alias("text"))
-    rows = rows.where(F.col("language").isNotNull())
+    rows = rows.where(F.col("language").isNotNull() & F.col("file_id").isNotNull())
 
     def run(batches):
         for pdf in batches:
