@@ -498,3 +498,11 @@ def t12_class_names(spark: SparkSession, d: str) -> DataFrame:
     return _classes(spark, d).select(
         "class_id", name.alias("name"), P.trim_suffix(name, "Controller", "Resource", "Collection").alias("bare"), P.singular(name).alias("one"), qualify(F.col("namespace"), F.col("class_name")).alias("qualified")
     )
+
+
+@query()
+def c9_project_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON summary of every project of source_files, with its digest."""
+    from factmill.plans.summary import summary
+
+    return summary(X.php_files(table(spark, d, "source_files")))
