@@ -78,11 +78,16 @@ class StateTarget:
         v = self.current()
         made = process(self.pending(source))
         if v is not None:
-            keep = unheld(self.read(v), self.pending(source), self.keys, ()) if self.keys else self.read(v)
+            keep = unheld(self.read(v), self.pending(source), self.keys, ())
             keep = keep.join(source.select(*self.keys).distinct(), list(self.keys), "left_semi")
             made = keep.unionByName(made)
-        tmp, new = f"{self.path}/_{uuid.uuid4().hex}", (v or 0) + 1
-        made.write.parquet(tmp)
+        return self.publish(made, v)
+
+    def publish(self, rows: DataFrame, after: int | None = None) -> int:
+        """Write ``rows`` as the version that follows ``after`` (the current one, if not given); its number."""
+        after = self.current() if after is None else after
+        tmp, new = f"{self.path}/_{uuid.uuid4().hex}", (after or 0) + 1
+        rows.write.parquet(tmp)
         final = self._Path(f"{self.path}/version={new}")
         if self._fs.exists(final) or not self._fs.rename(self._Path(tmp), final):
             self._fs.delete(self._Path(tmp), True)
