@@ -506,3 +506,80 @@ def c9_project_summaries(spark: SparkSession, d: str) -> DataFrame:
     from factmill.plans.summary import summary
 
     return summary(X.php_files(table(spark, d, "source_files")))
+
+
+def _runtime_routes(spark: SparkSession, d: str) -> DataFrame:
+    """The bindings of the table as the routes of a running application."""
+    b = table(spark, d, "route_bindings").dropDuplicates(["binding_id"])
+    method = F.coalesce(F.nullif(F.trim("method_name"), F.lit("")), F.lit("__invoke"))
+    kind = F.when(F.col("controller_fqcn").isNull(), "closure").when(method == "__invoke", "invokable_controller").otherwise("controller_method")
+    fqcn = F.ltrim(F.trim("controller_fqcn"), F.lit("\\"))
+    verbs = F.array_compact(F.coalesce("http_methods", F.array().cast("array<string>")))
+    return b.select(
+        "project_id", F.col("binding_id").cast("string").alias("route_id"), F.col("binding_id").alias("pos"), verbs.alias("methods"), F.array().cast("array<string>").alias("middleware"),
+        kind.alias("action_kind"), action_key(kind, fqcn, method).alias("action_key"),
+    )
+
+
+@query()
+def c3_route_contract(spark: SparkSession, d: str) -> DataFrame:
+    """The response document of every project: its bindings as runtime routes, joined with the analysis of its files."""
+    from factmill.plans.contract import answer
+
+    return answer(X.php_files(table(spark, d, "source_files")), _runtime_routes(spark, d), F.lit("request"), F.lit("fingerprint"))
+
+
+def _contract_actions(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import ACTION, actions
+    from factmill.plans.summary import project_facts
+
+    files = X.php_files(table(spark, d, "source_files"))
+    routes = _runtime_routes(spark, d).where(F.col("action_key").isNotNull()).groupBy(*ACTION).agg(F.array_sort(F.collect_list(F.struct("pos", "methods", "middleware"))).alias("routes"))
+    rows = actions(project_facts(files), X.class_index(files)).join(routes, ACTION, "left")
+    none = F.array().cast(dict(rows.dtypes)["routes"])
+    return rows.withColumn("routes", F.coalesce("routes", none)).withColumn("bound", F.size("routes") > 0)
+
+
+@query()
+def r0_request_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Every field of every action's request, as registered, before the merge."""
+    from factmill.plans.contract import request_fields
+
+    return request_fields(_contract_actions(spark, d))
+
+
+@query()
+def b0_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Every action's responses, one row each."""
+    from factmill.plans.contract import ACTION, with_authorization, with_responses
+
+    rows = with_responses(with_authorization(_contract_actions(spark, d)))
+    return rows.select(*ACTION, F.posexplode("responses").alias("pos", "r")).select(*ACTION, "pos", "r.kind", "r.status", "r.explicit", "r.contentType", "r.bodySchema", "r.source", "r.via")
+
+
+@query()
+def z1_authorization(spark: SparkSession, d: str) -> DataFrame:
+    """Every action's authorization, one row each."""
+    from factmill.plans.contract import ACTION, with_authorization
+
+    rows = with_authorization(_contract_actions(spark, d))
+    return rows.select(*ACTION, F.posexplode("authorization").alias("pos", "a")).select(*ACTION, "pos", "a.*")
+
+
+@query()
+def c5_resources(spark: SparkSession, d: str) -> DataFrame:
+    """The schema of every resource class."""
+    from factmill.plans.contract import contract_resources
+
+    files = X.php_files(table(spark, d, "source_files"))
+    return contract_resources(X.class_index(files), X.models(X.classes_with_methods(files)))
+
+
+@query(
+    rf"""WITH b AS (SELECT method_id, b FROM {_BODIES} WHERE b IS NOT NULL), r AS (SELECT method_id, unnest(list_concat(regexp_extract_all(b, '\babort\(\s*([^,\)]+)', 1), regexp_extract_all(b, '(?s)\babort_(?:unless|if)\(.*?,\s*([^,\)]+)', 1))) AS s FROM b)
+SELECT DISTINCT method_id, try_cast(trim(s) AS INT) AS status FROM r WHERE try_cast(trim(s) AS INT) IS NOT NULL"""
+)
+def b7_abort_statuses(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import error_statuses
+
+    return _bodies(spark, d).select("method_id", F.explode(error_statuses(F.col("body_text"))).alias("status"))

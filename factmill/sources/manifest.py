@@ -127,7 +127,8 @@ def load_request(text: str, source: str | None = None) -> Request:
         raise
     except ValueError as e:
         raise InvalidInput("failed to decode analysis request", str(e)) from None
-    if data["contractVersion"] != CONTRACT_VERSION:
+    version = data["contractVersion"]
+    if not isinstance(version, str) or version.rsplit(".", 1)[-1] != CONTRACT_VERSION:
         raise InvalidInput("analysis request validation failed: unsupported contractVersion")
     runtime = _closed(data["runtime"], _RUNTIME, "runtime")
     app = _closed(runtime["app"], _APP, "runtime.app")
