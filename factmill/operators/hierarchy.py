@@ -48,9 +48,10 @@ def _contract(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
         seg = [None] * n
         own = pdf["seg"].tolist()
         for i in np.argsort(dist, kind="stable"):
-            if not loops[i]:
-                # a link of a contracted level carries the nodes between its ends
-                seg[i] = list(own[i]) if not inside[i] else seg[first[i]] + list(own[i])
+            # a link of a contracted level carries the nodes between its ends; what leads to a loop has no path
+            above = [] if not inside[i] else seg[first[i]]
+            if not loops[i] and own[i] is not None and above is not None:
+                seg[i] = above + list(own[i])
     return pd.DataFrame(
         {
             "id": ids,
