@@ -629,7 +629,7 @@ class Parser:
             what = OTHER
         else:
             what = self.unary()
-        mixed = set()
+        logic = None
         unary_power = self.signed
         while self.kind == "op" or self.kind == "id":
             w = self.word
@@ -640,16 +640,21 @@ class Parser:
                 self.fail()
             if w == "**" and unary_power:
                 self.fail()
-            if w in ("??", "||", "&&"):
-                mixed.add("??" if w == "??" else "|")
-                if len(mixed) > 1:
-                    self.fail()
             self.advance()
             self.binary(level if w == "**" else level + 1, allow_in)
+            if level <= 3:
+                # ?? doesn't mix with || and && outside parentheses
+                kinds = {"??" if w == "??" else "||", logic, self.logic} - {None}
+                if len(kinds) > 1:
+                    self.fail()
+                logic = kinds.pop()
+            else:
+                logic = None
             what, unary_power = OTHER, False
-        self.signed = False
+        self.signed, self.logic = False, logic
         return what
 
+    logic = None  # the kind of logical operator that the binary expression read last ends in
     signed = False  # whether the unary expression read last began with an operator
 
     def unary(self) -> int:
