@@ -19,15 +19,15 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factmill.io import materialize, table
 
 LEAST = 200  # characters a shared span has at least
 BLOCK = 20  # reference blocks; an index entry is the most blocks that any span holds whole
 GRAM = 100  # grams of the pruning
+HOT_SHARE = 1000
 _BATCH_CHARS = 2_000_000
 
 # Rolling hash: a polynomial modulo 2^64 with an odd base, so windows come from prefix sums.
@@ -211,13 +211,26 @@ def _entries(docs: DataFrame, live: DataFrame, least: int, block: int, gram: int
     return both.mapInArrow(run, "entry bigint, longer bigint, reference boolean, doc_id bigint")
 
 
+def _shared_grams(grams: DataFrame) -> DataFrame:
+    """(doc_id, gram, phases): the grams that several texts chose, with the phases they have in any of them.
+
+    Counts are combined before they move. Grams that more than a thousandth of all
+    rows share are fewer than a thousand: those are joined by broadcast, so that no
+    task gets more than a thousandth of the rows for one gram.
+    """
+    hot = max(grams.count() // HOT_SHARE, HOT_SHARE)
+    several = grams.groupBy("gram").agg(F.count("*").alias("n"), F.bit_or("phases").alias("phases")).where("n > 1")
+    several = materialize(several, "several")
+    own = grams.select("gram", "doc_id")
+    few = F.broadcast(several.where(F.col("n") > hot).drop("n"))
+    rest = own.join(few.select("gram"), "gram", "left_anti").join(several.where(F.col("n") <= hot).drop("n"), "gram")
+    return rest.unionByName(own.join(few, "gram")).select("doc_id", "gram", "phases")
+
+
 def candidate_pairs(docs: DataFrame, least: int, block: int, gram: int) -> DataFrame:
     """(a, b, sure): pairs of texts with a common index entry; sure where ``least`` characters at it agree."""
-    grams = _chosen_grams(docs, least, block, gram)
-    of = Window.partitionBy("gram")
-    shared = grams.select(
-        "gram", "doc_id", F.min("doc_id").over(of).alias("lo"), F.max("doc_id").over(of).alias("hi"), F.bit_or("phases").over(of).alias("phases")
-    ).where(F.col("lo") < F.col("hi"))
+    grams = materialize(_chosen_grams(docs, least, block, gram), "grams")
+    shared = _shared_grams(grams)
     live = shared.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "phases")).alias("live"))
     entries = materialize(_entries(docs, live, least, block, gram), "entries")
     index = entries.where("reference").select("entry", F.col("longer").alias("longer_r"), F.col("doc_id").alias("r"))
