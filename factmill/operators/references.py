@@ -73,12 +73,13 @@ def orphan_bindings(bindings: DataFrame, methods: DataFrame) -> DataFrame:
     missing; a method row without time never counts as seen. Repeats count once.
     """
     refs, rows = _bindings(bindings), _methods(methods)
-    # Few methods take most bindings. Both joins have the large side on the left of an
-    # anti or outer join, where AQE may split a hot method's rows over many tasks.
+    # Few methods take most bindings. The large side stands left of the anti-join, where
+    # AQE splits a hot method's rows over many tasks; the exchange behind it keeps the
+    # next join from asking for that partitioning again, and moves orphans only.
     ever = rows.groupBy("t_project", "t_class", "t_method").agg(F.min("t_seen").alias("t_first"))
     alive = F.col("t_seen").isNotNull() & (F.col("t_seen") <= F.col("seen_at")) & (F.col("t_deleted").isNull() | (F.col("t_deleted") > F.col("seen_at")))
     keys, target = ["project_id", "class", "method"], ["t_project", "t_class", "t_method"]
-    lost = orphans(refs, rows, keys, target, "simple", alive)
+    lost = orphans(refs, rows, keys, target, "simple", alive).repartition("binding_id")
     on = [F.col(k) == F.col(t) for k, t in zip(keys, target)]
     reason = (
         F.when(F.col("t_class").isNull(), "missing")
