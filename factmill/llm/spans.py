@@ -7,8 +7,8 @@ rolling windows of 180 characters of all texts, and hits are extended to maximal
 exact repeats.
 
 Most windows of a corpus match nothing, and shipping them all would cost many
-times the input. They are pruned without loss: of every 101 successive grams of
-100 characters the least by hash is chosen, so two texts that share 200
+times the input. They are pruned without loss: of every 73 successive grams of
+128 characters the least by hash is chosen, so two texts that share 200
 characters choose the same gram in it. Only windows within 200 characters of a
 gram that another text chose too are probed, and of these only the phases that
 the reference blocks of the gram's other texts can have.
@@ -26,7 +26,7 @@ from factmill.io import materialize, table
 
 LEAST = 200  # characters a shared span has at least
 BLOCK = 20  # reference blocks; an index entry is the most blocks that any span holds whole
-GRAM = 100  # grams of the pruning
+GRAM = 128  # grams of the pruning: the longer, the less boilerplate is probed, and the more grams are chosen
 HOT_SHARE = 1000
 _BATCH_CHARS = 2_000_000
 
@@ -211,20 +211,40 @@ def _entries(docs: DataFrame, live: DataFrame, least: int, block: int, gram: int
     return both.mapInArrow(run, "entry bigint, longer bigint, reference boolean, doc_id bigint")
 
 
+def _hot_grams(grams: DataFrame) -> DataFrame:
+    """(gram): all grams with more than 1 / HOT_SHARE of the rows, and at most 2 * HOT_SHARE grams.
+
+    A partition tells its grams with half that share of its own rows. A hot gram
+    keeps at least half its rows that way, as the partitions that don't tell it
+    hold less than the other half; and so many rows can't have more grams.
+    """
+
+    share = 2 * HOT_SHARE
+
+    def run(batches):
+        parts = [batch.column(0).to_numpy() for batch in batches]
+        if parts:
+            own, n = np.unique(np.concatenate(parts), return_counts=True)
+            often = n * share >= n.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(own[often]), pa.array(n[often].astype(np.int64))], names=["gram", "n"])
+
+    told = grams.select("gram").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return told.where(F.col("n") * share >= grams.count()).select("gram")
+
+
 def _shared_grams(grams: DataFrame) -> DataFrame:
     """(doc_id, gram, phases): the grams that several texts chose, with the phases they have in any of them.
 
-    Counts are combined before they move. Grams that more than a thousandth of all
-    rows share are fewer than a thousand: those are joined by broadcast, so that no
-    task gets more than a thousandth of the rows for one gram.
+    Hot grams are few by proof; their phases are combined before they move, and
+    come back by broadcast. All others are small groups after one shuffle.
     """
-    hot = max(grams.count() // HOT_SHARE, HOT_SHARE)
-    several = grams.groupBy("gram").agg(F.count("*").alias("n"), F.bit_or("phases").alias("phases")).where("n > 1")
-    several = materialize(several, "several")
-    own = grams.select("gram", "doc_id")
-    few = F.broadcast(several.where(F.col("n") > hot).drop("n"))
-    rest = own.join(few.select("gram"), "gram", "left_anti").join(several.where(F.col("n") <= hot).drop("n"), "gram")
-    return rest.unionByName(own.join(few, "gram")).select("doc_id", "gram", "phases")
+    hot = F.broadcast(materialize(_hot_grams(grams), "hot_grams"))
+    of = Window.partitionBy("gram")
+    cold = grams.join(hot, "gram", "left_anti").select("doc_id", "gram", F.count("*").over(of).alias("n"), F.bit_or("phases").over(of).alias("phases"))
+    rows = grams.join(hot, "gram")
+    combined = rows.groupBy("gram").agg(F.count("*").alias("n"), F.bit_or("phases").alias("phases"))
+    warm = rows.select("doc_id", "gram").join(F.broadcast(combined), "gram").select("doc_id", "gram", "n", "phases")
+    return cold.unionByName(warm).where("n > 1").drop("n")
 
 
 def candidate_pairs(docs: DataFrame, least: int, block: int, gram: int) -> DataFrame:

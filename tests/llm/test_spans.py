@@ -34,6 +34,14 @@ def test_pairs_are_those_of_brute_force(spark, rows, seed):
     assert rows(shared_span_pairs(df, **SMALL)) == sorted(_brute(texts, 30), key=str)
 
 
+@pytest.mark.parametrize("share", [2, 30])
+def test_hot_and_cold_grams_give_the_same(spark, rows, monkeypatch, share):
+    monkeypatch.setattr("factmill.llm.spans.HOT_SHARE", share)
+    texts = _texts(21)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert rows(shared_span_pairs(df, **SMALL)) == sorted(_brute(texts, 30), key=str)
+
+
 def test_hot_passage_copies_and_repeated_rows(spark, rows):
     r = random.Random(1)
     notice = "".join(r.choice("abcdefghij ") for _ in range(35))
