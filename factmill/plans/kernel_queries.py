@@ -545,7 +545,8 @@ def r0_request_fields(spark: SparkSession, d: str) -> DataFrame:
     """Every field of every action's request, as registered, before the merge."""
     from factmill.plans.contract import request_fields
 
-    return request_fields(_contract_actions(spark, d))
+    index = X.class_index(X.php_files(table(spark, d, "source_files")))
+    return request_fields(_contract_actions(spark, d), index)
 
 
 @query()

@@ -117,6 +117,22 @@ Broadcast::channel('news', function ($user) { return true; });
 Broadcast::channel('lobby', function () { return []; });
 Broadcast::channel('news', function ($user, $x) { return true; });
 """,
+    "app/Data/BaseData.php": "<?php\nnamespace App\\Data;\nuse Spatie\\LaravelData\\Data;\nclass BaseData extends Data\n{\n    public function __construct(public int $id, public ?string $note = null) {}\n}\n",
+    "app/Data/OrderData.php": r"""<?php
+namespace App\Data;
+class OrderData extends BaseData
+{
+    public string|Optional $label;
+    public BuyerData $buyer;
+    #[DataCollectionOf(LineData::class)]
+    public array $lines;
+    public array $tags = [];
+    public OrderData $self;
+}
+""",
+    "app/Data/BuyerData.php": "<?php\nnamespace App\\Data;\nclass BuyerData extends BaseData\n{\n    public bool $vip;\n}\n",
+    "app/Data/LineData.php": "<?php\nnamespace App\\Data;\nuse Spatie\\LaravelData\\Data;\nclass LineData extends Data\n{\n    public function __construct(public float $price, public Money|null $total) {}\n}\n",
+    "app/Http/Controllers/OrderController.php": "<?php\nnamespace App\\Http\\Controllers;\nuse App\\Data\\OrderData;\nclass OrderController\n{\n    public function place(OrderData $data) { return response()->json($data); }\n}\n",
     "vendor/acme/Thing.php": "<?php\nclass Thing {}\n",
     "app/readme.txt": "no code",
 }

@@ -30,7 +30,7 @@ def files(spark, root):
 def test_scan(spark, root, files):
     assert {r.relative_path for r in files.collect()} == {p for p in project.FILES if p.endswith(".php") and not p.startswith("vendor")}
     all_of_it = scan_project(spark, str(root), targets=["app", "vendor", "nowhere", "app"], whitelist=["vendor/acme"])
-    assert "vendor/acme/Thing.php" in {r.relative_path for r in all_of_it.collect()} and all_of_it.count() == 10
+    assert "vendor/acme/Thing.php" in {r.relative_path for r in all_of_it.collect()} and all_of_it.count() == 15
     few = scan_project(spark, str(root), max_files=3).collect()
     assert [r.relative_path for r in sorted(few, key=lambda r: r.relative_path)] == sorted(p for p in project.FILES if p.endswith(".php"))[:3] and few[0].partial
     assert {r.relative_path.count("/") for r in scan_project(spark, str(root), max_depth=1).collect()} == {1}
@@ -40,7 +40,7 @@ def test_scan(spark, root, files):
 def test_summary(spark, files):
     row = summary(files).first()
     d = json.loads(row.document)
-    assert d["meta"] == {"partial": False, "stats": {"filesParsed": 11, "skipped": 0, "durationMs": 0}}
+    assert d["meta"] == {"partial": False, "stats": {"filesParsed": 16, "skipped": 0, "durationMs": 0}}
     book, export = d["controllers"]
     assert [m["name"] for m in book["methods"]] == ["index", "store", "show", "update", "destroy"]
     assert [m["name"] for m in export["methods"]] == ["go"]  # the invokable route gives way to the direct one
@@ -88,6 +88,7 @@ def _routes(spark):
         ("r7", 6, ["GET"], "x", [], "view", None, None),
         ("r8", 7, ["POST"], "x", [], "invokable_controller", C + "ExportController", "__invoke"),
         ("r9", 8, ["GET"], "x", [], "controller_method", C + "BookController", None),
+        ("r11", 10, ["POST"], "orders", [], "controller_method", C + "OrderController", "place"),
         ("r10", 9, ["GET"], "books", [], "controller_method", C + "BookController", "show"),
     ]
     df = spark.createDataFrame(rows, "route_id string, pos int, methods array<string>, uri string, middleware array<string>, action_kind string, action_fqcn string, action_method string")
@@ -97,7 +98,7 @@ def _routes(spark):
 def test_contract(spark, files):
     d = json.loads(answer(files, _routes(spark), F.lit("q\"1"), F.lit("f")).first().document)
     assert d["requestId"] == 'q"1' and d["status"] == "partial"
-    assert [m["matchStatus"] for m in d["routeMatches"]] == ["matched"] * 4 + ["runtime_only", "missing_static", "unsupported", "matched", "unsupported", "matched"]
+    assert [m["matchStatus"] for m in d["routeMatches"]] == ["matched"] * 4 + ["runtime_only", "missing_static", "unsupported", "matched", "unsupported", "matched", "matched"]
     assert d["meta"]["diagnosticCounts"] == {"info": 1, "warn": 3, "error": 0}
     assert [x["routeId"] for x in d["diagnostics"]] == ["r5", "r6", "r7", "r9"]
     by = {(c["fqcn"].rsplit("\\", 1)[1], c["method"]): c for c in d["delta"]["controllers"]}
@@ -128,6 +129,13 @@ def test_contract(spark, files):
     assert {r["status"] for r in show["responses"]} >= {404}
     invoke = by["ExportController", "__invoke"]
     assert {(r["kind"], r["status"]) for r in invoke["responses"]} == {("download", 200), ("json_object", 410)} and invoke["http"] == {"status": 200, "explicit": False}
+    place = by["OrderController", "place"]["request"]
+    fields = {f["path"]: f for f in place["fields"]}
+    assert sorted(fields) == sorted(["id", "note", "label", "buyer", "buyer.id", "buyer.note", "buyer.vip", "lines", "lines[].price", "lines[].total", "tags", "self"])
+    assert fields["id"]["required"] and fields["id"]["type"] == "integer" and fields["note"]["nullable"] and not fields["note"]["required"]
+    assert fields["label"]["wrappers"] == ["Optional"] and fields["buyer"]["kind"] == "object" and fields["buyer"]["type"] == "App\\Data\\BuyerData"
+    assert fields["lines"]["kind"] == "collection" and fields["lines"]["itemType"] == "App\\Data\\LineData" and fields["tags"]["kind"] == "array"
+    assert place["body"]["lines"]["_item"] == {"price": {}, "total": {}} and place["body"]["buyer"] == {"id": {}, "note": {}, "vip": {}}
     models = {m["fqcn"]: m for m in d["delta"]["models"]}
     book = models["App\\Models\\Book"]
     assert book["withPivot"] == [{"relation": "shelves", "columns": ["row", "place"], "alias": "spot", "timestamps": True}]
@@ -145,14 +153,14 @@ def test_fact_store(spark, files, tmp_path):
     f = files.drop("partial")
     at = f"file://{tmp_path}/store"
     cold = refresh(spark, at, f, on)
-    assert (cold.hits, cold.misses) == (0, 11)
+    assert (cold.hits, cold.misses) == (0, 16)
     warm = refresh(spark, at, f, on)
-    assert (warm.hits, warm.misses) == (11, 0)
+    assert (warm.hits, warm.misses) == (16, 0)
     assert X.models(stored_classes(warm.facts)).count() == X.models(X.classes_with_methods(f)).count() == 4
     touched = f.withColumn("modified_ms", F.col("modified_ms") + F.when(F.col("relative_path") == "app/Models/Book.php", 1).otherwise(0))
     again = refresh(spark, at, touched, on)
-    assert 1 < again.misses < 11  # the file and those that depend on it
-    assert refresh(spark, at, touched.where("relative_path <> 'app/Models/Note.php'"), on).facts.count() == 10
+    assert 1 < again.misses < 16  # the file and those that depend on it
+    assert refresh(spark, at, touched.where("relative_path <> 'app/Models/Note.php'"), on).facts.count() == 15
     assert refresh(spark, at, touched, on | {"polymorphic": False}).hits == 0
 
 
