@@ -20,6 +20,7 @@ from factmill.functions.jsonstream import is_json
 from factmill.io import table
 from factmill.llm import js_grammar, lexer_maps, php_grammar
 
+LONG_CHARS = 1_000_000  # PHP and JS texts over so many characters are parsed in several tasks
 LANGUAGES = ("php", "json", "js", "xml", "py")
 
 
@@ -116,7 +117,58 @@ def language_of(path_column: str):
     return F.when(ext.isin(*LANGUAGES), ext)
 
 
-def checked_files(files: DataFrame) -> DataFrame:
+VERDICT = "file_id bigint, project_id string, language string, valid boolean"
+_GRAMMARS = {"php": lexer_maps.PHP, "js": lexer_maps.JS}
+
+
+def _verdicts(rows: DataFrame) -> DataFrame:
+    """Each text parsed where it lies."""
+
+    def run(batches):
+        for pdf in batches:
+            valid = [None if t is None else parses(lang, t) for lang, t in zip(pdf["language"], pdf["text"])]
+            yield pd.DataFrame({"file_id": pdf["file_id"], "project_id": pdf["project_id"], "language": pdf["language"], "valid": pd.array(valid, "boolean")})
+
+    return rows.mapInPandas(run, VERDICT)
+
+
+def _group_parses(language: str, text: str, state: str) -> bool | None:
+    try:
+        php_grammar.check(text, state == "code") if language == "php" else js_grammar.check(text)
+    except (php_grammar.BadSyntax, js_grammar.BadSyntax):
+        return False
+    except (RecursionError, MemoryError):
+        return None
+    return True
+
+
+def _long_verdicts(rows: DataFrame) -> DataFrame:
+    """Long texts: their groups of balanced statements are spread over tasks and parsed there.
+
+    A text that isn't closed, or of which a group fails, is confirmed as a whole.
+    """
+
+    def cut(batches):
+        for pdf in batches:
+            out = []
+            for f, p, lang, t in zip(pdf["file_id"], pdf["project_id"], pdf["language"], pdf["text"]):
+                groups = lexer_maps.statement_groups(_GRAMMARS[lang], t) if lang != "php" or php_grammar.has_tag(t) else None
+                out += [(f, p, lang, a, s, t[a:b]) for a, b, s in groups or [(0, 0, "open")]]
+            yield pd.DataFrame(out, columns=["file_id", "project_id", "language", "at", "state", "part"])
+
+    def check(batches):
+        for pdf in batches:
+            ok = [s != "open" and _group_parses(lang, t, s) is True for lang, s, t in zip(pdf["language"], pdf["state"], pdf["part"])]
+            yield pd.DataFrame({"file_id": pdf["file_id"], "project_id": pdf["project_id"], "language": pdf["language"], "valid": pd.array(ok, "boolean")})
+
+    parts = rows.mapInPandas(cut, "file_id bigint, project_id string, language string, at bigint, state string, part string")
+    told = parts.repartition("file_id", "at").mapInPandas(check, VERDICT)
+    sure = told.groupBy("file_id", "project_id", "language").agg(F.min("valid").alias("valid"))
+    again = rows.join(sure.where(~F.col("valid")).select(F.col("file_id").alias("__f")).distinct(), F.col("file_id") == F.col("__f"), "left_semi")
+    return sure.where("valid").unionByName(_verdicts(again))
+
+
+def checked_files(files: DataFrame, long_chars: int = LONG_CHARS) -> DataFrame:
     """(file_id, project_id, language, valid): each file once.
 
     ``valid`` is null for null texts and for texts nested too deep to tell; files
@@ -125,14 +177,9 @@ def checked_files(files: DataFrame) -> DataFrame:
     """
     rows = files.select(F.col("file_id").cast("bigint").alias("file_id"), "project_id", language_of("relative_path").alias("language"), F.col("source_text").alias("text"))
     rows = rows.where(F.col("language").isNotNull() & F.col("file_id").isNotNull())
-
-    def run(batches):
-        for pdf in batches:
-            valid = [None if t is None else parses(lang, t) for lang, t in zip(pdf["language"], pdf["text"])]
-            yield pd.DataFrame({"file_id": pdf["file_id"], "project_id": pdf["project_id"], "language": pdf["language"], "valid": pd.array(valid, "boolean")})
-
-    # Texts never move: repeats fall together after the check.
-    told = rows.mapInPandas(run, "file_id bigint, project_id string, language string, valid boolean")
+    long = (F.char_length("text") > long_chars) & F.col("language").isin(*_GRAMMARS)
+    # Texts stay where they are, but for groups of long ones; repeats fall together after the check.
+    told = _verdicts(rows.where(~F.coalesce(long, F.lit(False)))).unionByName(_long_verdicts(rows.where(long)))
     return told.groupBy("file_id", "project_id", "language").agg(F.min("valid").alias("valid"))
 
 

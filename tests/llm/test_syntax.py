@@ -102,3 +102,14 @@ def test_files(spark, rows):
     got = rows(checked_files(df), "file_id", "language", "valid")
     assert got == sorted([(1, "php", True), (2, "php", False), (3, "json", False), (4, "json", None), (5, "xml", True), (9, "js", True)], key=str)
     assert checked_files(df.limit(0)).collect() == []
+
+
+def test_long_files_are_parsed_in_groups(spark, rows):
+    body = "class A%d {\n  function f() { return [1, '}']; }\n}\n"
+    good = "<?php\n" + "".join(body % i for i in range(60))
+    js = "".join("function f%d(a) {\n  return `x${a}`;\n}\n" % i for i in range(60))
+    data = [(1, "a.php", good), (2, "b.php", good.replace("A30 {", "30 {")), (3, "c.php", good[:-3]), (4, "d.js", js), (5, "e.js", js + "let;x y"), (6, "f.php", js), (7, "g.php", "<?php if ($a):\n" + good[6:] + "endif;\n")]
+    df = spark.createDataFrame([(i, "p", p, t) for i, p, t in data], "file_id long, project_id string, relative_path string, source_text string")
+    want = [(1, True), (2, False), (3, False), (4, True), (5, False), (6, False), (7, True)]
+    assert rows(checked_files(df, long_chars=500), "file_id", "valid") == want
+    assert rows(checked_files(df), "file_id", "valid") == want
