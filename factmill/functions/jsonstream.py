@@ -3,6 +3,7 @@
 ``leaves`` turns a record into (path, value) pairs, a path being a tuple of keys
 and array ordinals. It accepts exactly the JSON of RFC 8259 (no NaN, no comments,
 no trailing comma), at any nesting depth. Of repeated keys the last one holds.
+Half a surrogate pair becomes U+FFFD.
 """
 
 from __future__ import annotations
@@ -45,10 +46,7 @@ def events(text: str) -> Iterator[tuple[tuple, object]]:
                 raise NotJson("ends before a value")
             c = text[i]
             if c == '"':
-                try:
-                    v, i = scanstring(text, i + 1, True)
-                except ValueError as e:
-                    raise NotJson(str(e)) from None
+                v, i = _string(text, i)
                 yield tuple(path), v
             elif c == "{" or c == "[":
                 i = space(text, i + 1).end()
@@ -100,13 +98,23 @@ def events(text: str) -> Iterator[tuple[tuple, object]]:
             raise NotJson(f"unexpected {c!r} at {i}")
 
 
-def _key(text: str, i: int, n: int, path: list) -> int:
-    if i >= n or text[i] != '"':
-        raise NotJson(f"no key at {i}")
+def _string(text: str, i: int) -> tuple[str, int]:
     try:
-        path[-1], i = scanstring(text, i + 1, True)
+        v, i = scanstring(text, i + 1, True)
     except ValueError as e:
         raise NotJson(str(e)) from None
+    if not v.isascii():
+        try:
+            v.encode()
+        except UnicodeEncodeError:  # half a surrogate pair, which no table can hold
+            v = v.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return v, i
+
+
+def _key(text: str, i: int, n: int, path: list) -> int:
+    if i >= n or text[i] != '"':
+        raise NotJson(f"no key at {i}")
+    path[-1], i = _string(text, i)
     i = _SPACE.match(text, i).end()
     if i >= n or text[i] != ":":
         raise NotJson(f"no colon at {i}")

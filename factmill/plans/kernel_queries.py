@@ -584,3 +584,117 @@ def b7_abort_statuses(spark: SparkSession, d: str) -> DataFrame:
     from factmill.plans.contract import error_statuses
 
     return _bodies(spark, d).select("method_id", F.explode(error_statuses(F.col("body_text"))).alias("status"))
+
+
+# -- operators of the contract on text put together from columns
+
+
+def _lit_concat(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query(
+    """WITH p AS (SELECT p_partkey, p_size % 3 AS k FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN 'policy' WHEN 1 THEN 'policy' ELSE 'allows' END AS kind, CASE k WHEN 0 THEN 'see' WHEN 1 THEN 'edit' ELSE 'drop' END AS ability, '$p' || p_partkey AS target,
+  CASE k WHEN 0 THEN '$this->authorize' WHEN 1 THEN 'Gate::authorize' ELSE 'Gate::allows' END AS source, k < 2 AS enforces FROM p"""
+)
+def z1_gate_calls(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import explicit_authorization
+
+    k = F.col("p_size") % 3
+    call = F.when(k == 0, "$this->authorize('see'").when(k == 1, "Gate::authorize('edit'").otherwise("Gate::allows('drop'")
+    body = _lit_concat("public function x() { ", call, ", $p", F.col("p_partkey"), "); ", call, ", $p", F.col("p_partkey"), "); }")
+    rows = table(spark, d, "part").select("p_partkey", body.alias("body_text"), F.array().cast("array<string>").alias("form_classes"))
+    rows = rows.select("p_partkey", F.explode(explicit_authorization()).alias("a"))
+    return rows.select("p_partkey", "a.kind", "a.ability", "a.target", "a.source", F.col("a.enforcesFailureResponse").alias("enforces"))
+
+
+@query(
+    """SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'policy' ELSE 'middleware' END AS kind, CASE c_nationkey % 4 WHEN 0 THEN 'can:edit,n' || c_nationkey WHEN 1 THEN 'auth:api' WHEN 2 THEN 'verified' END AS source,
+  CASE c_nationkey % 4 WHEN 0 THEN 'n' || c_nationkey END AS parameter FROM customer WHERE c_nationkey % 4 < 3"""
+)
+def z5_middleware(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import middleware_authorization
+
+    k = F.col("c_nationkey") % 4
+    name = F.when(k == 0, _lit_concat("can:edit,n", F.col("c_nationkey"))).when(k == 1, "auth:api").when(k == 2, "verified").otherwise("throttle:60")
+    rows = table(spark, d, "customer").select("c_custkey", F.array(F.struct(F.array(name).alias("middleware"))).alias("routes"))
+    rows = rows.select("c_custkey", F.explode(middleware_authorization(F.lit(False))).alias("a"))
+    return rows.select("c_custkey", "a.kind", "a.source", "a.parameter")
+
+
+@query("SELECT s_suppkey, s_nationkey % 2 = 0 AS applies FROM supplier")
+def f18_only_option(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import applies
+
+    k = F.col("s_nationkey").cast("string")
+    options = F.when(F.col("s_nationkey") % 2 == 0, _lit_concat("['only' => ['a', 'm", k, "']]")).otherwise(_lit_concat("['except' => ['m", k, "']]"))
+    return table(spark, d, "supplier").select("s_suppkey", applies(options, _lit_concat("m", k)).alias("applies"))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS k FROM orders)
+SELECT o_orderkey, CASE k WHEN 1 THEN 'redirect' WHEN 2 THEN 'download' ELSE 'stream' END AS kind, CASE k WHEN 1 THEN 302 ELSE 200 END AS status, CASE k WHEN 1 THEN 'r' || o_orderkey END AS target, CASE k WHEN 2 THEN 'f' || o_orderkey || '.csv' END AS filename FROM o"""
+)
+def b4_redirects_and_files(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import with_responses
+
+    key, state = F.col("o_orderkey"), F.col("o_orderstatus")
+    call = F.when(state == "F", _lit_concat("redirect()->route('r", key, "')")).when(state == "O", _lit_concat("response()->download($p, 'f", key, ".csv')")).otherwise("response()->streamDownload($f)")
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    rows = table(spark, d, "orders").select(
+        "o_orderkey", _lit_concat("{ return ", call, "; }").alias("body_text"), F.lit(None).cast("int").alias("http_status"), F.lit("").alias("namespace"), none.alias("imports"),
+        F.array().cast("array<struct<methods:array<string>>>").alias("routes"), F.lit(False).alias("bound"), F.array().cast(f"array<{P.USAGE}>").alias("request_usage"), F.lit(False).alias("has_rules"),
+        F.array().cast("array<struct<kind:string,source:string,enforcesFailureResponse:boolean>>").alias("authorization"),
+        F.array().cast("array<struct<fqcn:string,source:string,links:array<struct<name:string,kind:string,related:string>>>>").alias("models"),
+    )
+    rows = with_responses(rows).select("o_orderkey", F.explode("responses").alias("r"))
+    return rows.select("o_orderkey", "r.kind", "r.status", "r.redirect.target", "r.download.filename")
+
+
+@query(
+    """SELECT p_partkey, 'r' || p_partkey AS name, CASE p_size % 3 WHEN 0 THEN 'hasMany' WHEN 1 THEN 'belongsToMany' ELSE 'morphMany' END AS relation_type, 'App\\Models\\M' || p_size AS related,
+  CASE p_size % 3 WHEN 1 THEN 'a,b' ELSE '' END AS pivot, CASE p_size % 3 WHEN 2 THEN 'able' || p_size END AS morph_name FROM part"""
+)
+def x12_relation_methods(spark: SparkSession, d: str) -> DataFrame:
+    k, size = F.col("p_size") % 3, F.col("p_size")
+    call = F.when(k == 0, _lit_concat("hasMany(M", size, "::class)")).when(k == 1, _lit_concat("belongsToMany(M", size, "::class)->withPivot('a', 'b')")).otherwise(_lit_concat("morphMany(M", size, "::class, 'able", size, "')"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    r = P.relationship(_lit_concat("r", F.col("p_partkey")), _lit_concat("public function f() { return $this->", call, "; }"), F.lit("App\\Models"), none)
+    rows = table(spark, d, "part").select("p_partkey", r.alias("r"))
+    return rows.select("p_partkey", "r.name", "r.relation_type", "r.related", _joined(F.col("r.pivot_columns")).alias("pivot"), "r.morph_name")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'presence' WHEN n_nationkey % 3 = 1 THEN 'public' ELSE 'private' END AS visibility, CASE n_nationkey % 3 WHEN 2 THEN 'news.' || n_nationkey ELSE 'news.' || n_nationkey END AS channel FROM nation")
+def x14_broadcast_channels(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("n_nationkey") % 3
+    params = F.when(k == 0, "").when(k == 1, "$user").otherwise("$user, $id")
+    text = _lit_concat("<?php\nBroadcast::channel('news.", F.col("n_nationkey"), "', function (", params, ") { return ['}']; });\n")
+    files = table(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.lit("routes/channels.php").alias("relative_path"), text.alias("source_text"))
+    return X.broadcast_channels(files).select(F.col("project_id").alias("n_nationkey"), F.col("channel_type").alias("visibility"), "channel")
+
+
+@query(
+    """SELECT p_partkey, 'f' || p_size AS path, CASE p_size % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'string' ELSE 'array' END AS type, true AS required, CASE p_size % 3 WHEN 0 THEN 'max' WHEN 1 THEN 'in' ELSE '' END AS wrappers, CASE p_size % 3 WHEN 1 THEN 'a,b' ELSE '' END AS allowed FROM part"""
+)
+def r4_rule_fields(spark: SparkSession, d: str) -> DataFrame:
+    from factmill.plans.contract import request_fields
+
+    k = F.col("p_size") % 3
+    rules = F.when(k == 0, "'required|integer|max:9'").when(k == 1, "['required', 'string', Rule::in(['b', 'a'])]").otherwise("'required|array'")
+    body = _lit_concat("{ $request->validate(['f", F.col("p_size"), "' => ", rules, "]); }")
+    rows = table(spark, d, "part").select(
+        F.col("p_partkey").alias("project_id"), F.lit("a").alias("action_key"), body.alias("body_text"), F.lit("").alias("class_source"), F.array().cast(f"array<{P.USAGE}>").alias("request_usage"), F.array().cast("array<struct<fqcn:string,source:string>>").alias("forms")
+    )
+    rows = request_fields(rows)
+    return rows.select(F.col("project_id").alias("p_partkey"), "path", "type", "required", _joined(F.col("wrappers")).alias("wrappers"), _joined(F.col("allowedValues")).alias("allowed"))
+
+
+@query("SELECT DISTINCT file_id, relative_path FROM source_files WHERE lower(relative_path) LIKE '%.php' AND (NOT (starts_with(relative_path, 'app/Support/') OR starts_with(relative_path, 'app/Jobs/')) OR starts_with(relative_path, 'app/Jobs/Sync'))")
+def s3_scanned_files(spark: SparkSession, d: str) -> DataFrame:
+    """The vendor rule with two folders in the part of vendor/ and one whitelisted prefix."""
+    from factmill.sources.scan import is_php, kept_vendor
+
+    as_vendor = F.regexp_replace("relative_path", "^app/(Support|Jobs)/", "vendor/$1/")
+    rows = table(spark, d, "source_files").select("file_id", "relative_path", as_vendor.alias("v")).where(is_php(F.col("relative_path")))
+    return rows.where(kept_vendor(F.col("v"), ["vendor/Jobs/Sync"])).select("file_id", "relative_path").distinct()

@@ -89,6 +89,11 @@ def test_triples_and_pivot(spark, rows):
     assert rows(pivot_group(found, "o.[].n.[]", {"n": ""})) == [(1, [0, 0], "1"), (1, [0, 1], "2")]
 
 
+def test_half_surrogates_do_not_break_tables(spark, rows):
+    df = spark.createDataFrame([(1, '{"a": "x\\ud800y", "\\udc00": "\\ud83d\\ude00"}')], "k long, t string")
+    assert rows(triples(df, "k", "t"), "path", "value") == [("a", "x\ufffdy"), ("\ufffd", "\U0001f600")]
+
+
 def test_events_raise():
     try:
         list(events("[1"))
