@@ -134,6 +134,11 @@ def ancestry(classes: DataFrame) -> DataFrame:
     return ids.select("project_id", "fqcn", "id").join(bases, "id").select("project_id", "fqcn", "base").distinct()
 
 
+def descending(bases: DataFrame, base: str) -> DataFrame:
+    """(project_id, fqcn) of the classes that an ``ancestry`` lists with ``base``."""
+    return bases.where(F.col("base") == base).select("project_id", "fqcn")
+
+
 def subclasses(classes: DataFrame, base: str) -> DataFrame:
     """(project_id, fqcn) of classes that descend from ``base``; terminates on loops of any length."""
-    return ancestry(classes).where(F.col("base") == base).select("project_id", "fqcn")
+    return descending(ancestry(classes), base)

@@ -546,7 +546,7 @@ def r0_request_fields(spark: SparkSession, d: str) -> DataFrame:
     from factmill.plans.contract import request_fields
 
     index = X.class_index(X.php_files(table(spark, d, "source_files")))
-    return request_fields(_contract_actions(spark, d), index)
+    return request_fields(_contract_actions(spark, d), index, R.ancestry(index.select("project_id", "fqcn", "extends")))
 
 
 @query()
