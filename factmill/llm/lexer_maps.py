@@ -176,21 +176,26 @@ def statement_groups(language: Language, text: str, size: int = CHUNK_CHARS) ->
     begins with a declaring word.
     """
     parts = chunks(text, size)
-    before = prefixes(language, parts)
-    if not closed(language, before[-1]):
-        return None
-    if language.cut is None:
-        return [(0, len(text), language.start)]
-    cuts, at = [], 0
-    for part, run in zip(parts, before):
-        level = len(run.opens)
-
-        def on_code(a: int, b: int, depth: int, at=at, level=level) -> None:
+    cuts: list[int] = []
+
+    def cut_at(at: int, level: int):
+        def on_code(a: int, b: int, depth: int) -> None:
             if level + depth == 0:
-                # from one character before, so that the closing brace is seen
+                # the character before is seen too, so that a closing brace is
                 cuts.extend(m.end() for m in language.cut.finditer(text, at + a, at + b) if m.end() > at)
 
-        language.scan(part, run.end, on_code)
-        at += len(part)
+        return on_code if language.cut else None
+
+    if len(parts) == 1:  # its one start state is known, and one scan does both
+        if not closed(language, language.scan(text, language.start, cut_at(0, 0))):
+            return None
+    else:
+        before, at = prefixes(language, parts), 0
+        if not closed(language, before[-1]):
+            return None
+        for part, run in zip(parts, before):
+            if language.cut:
+                language.scan(part, run.end, cut_at(at, len(run.opens)))
+            at += len(part)
     bounds = [0, *sorted(set(cuts)), len(text)]
     return [(a, b, "code" if a else language.start) for a, b in zip(bounds, bounds[1:]) if a < b]

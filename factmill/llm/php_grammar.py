@@ -12,7 +12,7 @@ class BadSyntax(Exception):
 _W = r"A-Za-z0-9_\x80-\U0010ffff"
 _I = r"A-Za-z_\x80-\U0010ffff"
 _TOKEN = re.compile(
-    rf"""(?P<ws>[ \t\r\n]++)
+    rf"""[ \t\r\n]*+(?:(?P<ws>\Z)
 |(?P<lc>(?://|\#(?!\[))(?:(?!\?>)[^\r\n])*+)
 |(?P<bc>/\*(?:[^*]|\*(?!/))*+\*/)
 |(?P<var>\$[{_I}][{_W}]*+)
@@ -24,7 +24,7 @@ _TOKEN = re.compile(
 |(?P<num>0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*+|0[bB][01]+(?:_[01]+)*+|0[oO][0-7]+(?:_[0-7]+)*+|(?:[0-9]+(?:_[0-9]+)*+(?:\.(?:[0-9]+(?:_[0-9]+)*+)?)?|\.[0-9]+(?:_[0-9]+)*+)(?:[eE][+-]?[0-9]+(?:_[0-9]+)*+)?)
 |(?P<close>\?>(?:\r\n|\n|\r)?)
 |(?P<cast>\([ \t]*(?:int|integer|float|double|real|string|binary|bool|boolean|array|object|unset)[ \t]*\))
-|(?P<op><<=|>>=|\*\*=|\.\.\.|<=>|===|!==|\?\?=|\?->|\+\+|--|->|=>|::|==|!=|<>|<=|>=|&&|\|\||\?\?|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|\#\[|[-+*/%=<>!.&|^~?:;,@(){{}}\[\]$`])""",
+|(?P<op><<=|>>=|\*\*=|\.\.\.|<=>|===|!==|\?\?=|\?->|\+\+|--|->|=>|::|==|!=|<>|<=|>=|&&|\|\||\?\?|\+=|-=|\*=|/=|\.=|%=|&=|\|=|\^=|<<|>>|\*\*|\#\[|[-+*/%=<>!.&|^~?:;,@(){{}}\[\]$`]))""",
     re.X | re.S | re.I,
 )
 _OPEN = re.compile(r"<\?(?:php(?=[ \t\r\n]|\Z)|=)", re.I)
@@ -80,11 +80,11 @@ class Lexer:
             if m is None:
                 raise BadSyntax(f"character at {pos}")
             kind = m.lastgroup
-            start, pos = pos, m.end()
+            pos = m.end()
             if kind == "ws" or kind == "lc" or kind == "bc":
                 continue
             if kind == "op":
-                w = m.group()
+                w = m["op"]
                 if inner:
                     if w == "{":
                         depth += 1
@@ -100,7 +100,7 @@ class Lexer:
                 kinds.append("op")
                 words.append(w)
             elif kind == "id":
-                w = m.group()
+                w = m["id"]
                 # after an arrow any word is a member's name
                 if kinds and kinds[-1] == "op" and words[-1] in ("->", "?->"):
                     kinds.append("name")
@@ -115,7 +115,7 @@ class Lexer:
                 words.append(low if low in RESERVED or "\\" not in w else w)
             elif kind == "var":
                 kinds.append("var")
-                words.append(m.group())
+                words.append(m["var"])
             elif kind == "num":
                 kinds.append("num")
                 words.append("")
@@ -127,12 +127,12 @@ class Lexer:
                 kinds.append("str")
                 words.append("")
             elif kind == "here":
-                pos = self._heredoc(m.group(), pos)
+                pos = self._heredoc(m["here"], pos)
                 kinds.append("str")
                 words.append("")
             elif kind == "cast":
                 kinds.append("cast")
-                words.append(text[start:pos])
+                words.append("")
             else:
                 kinds.append("close")
                 words.append(";")
