@@ -125,6 +125,35 @@ def resolve_forest(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_pa
     return solved.withColumnRenamed("seg", "path") if with_path else solved.drop("seg")
 
 
+def loop_paths(links: DataFrame, tree: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """(id, root, depth, path) of the nodes that ``tree``, a ``resolve_forest`` of ``links``, gives depth -1.
+
+    Root and depth are those of ``tree``. The path holds all distinct ancestors,
+    the farthest first, and ends with the node: the loop once round, with the
+    member that is reached last, then the chain down from it. Of a loop's member
+    it is the loop, of a node that names itself only that node.
+    """
+    bound = tree.where(F.col("depth") < 0).select(F.col("id").alias("__i"), F.col("root").alias("loop"))
+    rows = materialize(links.join(bound, F.col("id") == F.col("__i")).select("id", "parent", "local", "loop"), "loop_links")
+    # Without the link up from its smallest member each loop is the tree of what hangs on it.
+    heads = F.col("id") == F.col("loop")
+    cut = rows.withColumn("parent", F.when(~heads, F.col("parent")))
+    down = materialize(resolve_forest(cut, fragment_rows, with_path=True), "loop_trees")
+    # The smallest member's parent is the loop's last one; its path is the whole loop.
+    last = rows.where(heads).select(F.col("parent").alias("id"))
+    loops = down.join(last, "id", "left_semi").select("root", F.col("path").alias("loop"))
+    # A path runs along the loop and leaves it for good: what they have in common is where.
+    shared = F.size(F.array_intersect("path", "loop"))
+    whole = F.concat(F.slice("loop", shared + 1, F.size("loop")), "path")
+    return down.join(loops, "root").select("id", "root", F.lit(-1).cast("bigint").alias("depth"), whole.alias("path"))
+
+
+def ancestor_paths(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """``resolve_forest`` with paths for all nodes, those of ``loop_paths`` on and below loops."""
+    tree = materialize(resolve_forest(links, fragment_rows, with_path=True), "forest")
+    return tree.where(F.col("depth") >= 0).unionByName(loop_paths(links, tree, fragment_rows))
+
+
 def class_links(classes: DataFrame) -> DataFrame:
     """(class_id, parent_id, project_id, fqcn): each class's latest scan with its parent class of the same project.
 
@@ -146,8 +175,12 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(class_links(table(spark, sf_dir, "classes")), "class_links")
 
 
+def _nodes(links: DataFrame) -> DataFrame:
+    return links.select(F.col("class_id").alias("id"), F.col("parent_id").alias("parent"), F.xxhash64("project_id").alias("local"))
+
+
 def _forest(links: DataFrame, **how) -> DataFrame:
-    return resolve_forest(links.select(F.col("class_id").alias("id"), F.col("parent_id").alias("parent"), F.xxhash64("project_id").alias("local")), **how)
+    return resolve_forest(_nodes(links), **how)
 
 
 def p2_found(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
@@ -157,22 +190,52 @@ def p2_found(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROW
     return found.select(F.col("id").alias("class_id"), F.col("root").alias("root_id"), "depth")
 
 
-def p2_paths(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
-    """(class_id, root_id, depth, path): every class outside loops with its path of ids from the root, joined by ``/``."""
-    tree = _forest(_links(spark, sf_dir), fragment_rows=fragment_rows, with_path=True).where(F.col("depth") >= 0)
+def _paths(tree: DataFrame) -> DataFrame:
     return tree.select(F.col("id").alias("class_id"), F.col("root").alias("root_id"), "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
 
 
+def p2_paths(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """(class_id, root_id, depth, path): every class whose climbing ends with its path of ids from the root, joined by ``/``.
+
+    Classes on and below loops have no row here; ``p2_all_paths`` has them too.
+    """
+    return _paths(_forest(_links(spark, sf_dir), fragment_rows=fragment_rows, with_path=True).where(F.col("depth") >= 0))
+
+
+def p2_all_paths(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """``p2_paths`` of all classes: on and below loops with root_id and depth of ``p2_found`` and the path of ``loop_paths``."""
+    return _paths(ancestor_paths(_nodes(_links(spark, sf_dir)), fragment_rows))
+
+
 def descendants(tree: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) from ``resolve_forest(..., with_path=True)``: one row per pair, the node itself left out."""
-    up = tree.where(F.col("depth") > 0).select("id", "depth", F.posexplode("path").alias("pos", "ancestor")).where(F.col("pos") < F.col("depth"))
-    return up.select("ancestor", F.col("id").alias("descendant"), (F.col("depth") - F.col("pos")).alias("distance"))
+    """(ancestor, descendant, distance) of all nodes of ``tree`` that have a path: one row per pair, the node itself left out.
+
+    Of ``resolve_forest(..., with_path=True)`` these are the nodes whose
+    climbing ends, of ``ancestor_paths`` all.
+    """
+    length = F.size("path") - 1
+    up = tree.where(length > 0).select("id", length.cast("bigint").alias("n"), F.posexplode("path").alias("pos", "ancestor")).where(F.col("pos") < F.col("n"))
+    return up.select("ancestor", F.col("id").alias("descendant"), (F.col("n") - F.col("pos")).alias("distance"))
+
+
+def _descendants(tree: DataFrame) -> DataFrame:
+    return descendants(tree).select(F.col("ancestor").alias("class_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 def p2_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
-    """(class_id, descendant_id, distance): all descendants of every class that is on no loop."""
-    pairs = descendants(_forest(_links(spark, sf_dir), fragment_rows=fragment_rows, with_path=True))
-    return pairs.select(F.col("ancestor").alias("class_id"), F.col("descendant").alias("descendant_id"), "distance")
+    """(class_id, descendant_id, distance): the pairs of classes whose climbing ends.
+
+    Pairs on and below loops have no row here; ``p2_all_descendants`` has them too.
+    """
+    return _descendants(_forest(_links(spark, sf_dir), fragment_rows=fragment_rows, with_path=True))
+
+
+def p2_all_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+    """(class_id, descendant_id, distance): all descendants of every class, also on and below loops.
+
+    On a loop every other member is a descendant; distance is the least number of links.
+    """
+    return _descendants(ancestor_paths(_nodes(_links(spark, sf_dir)), fragment_rows))
 
 
 _CLASS_SQL = r"""
@@ -204,3 +267,23 @@ P2_DESCENDANTS_SQL = (
 SELECT class_id, descendant_id, distance FROM a
 """
 )
+# Climbing that stops before a class comes again; of each class the longest climb is its path.
+_CLIMB_SQL = (
+    _CLASS_SQL
+    + """, u AS (SELECT class_id, class_id AS cur, [class_id] AS path FROM l
+      UNION ALL SELECT u.class_id, l.parent_id, list_prepend(l.parent_id, u.path) FROM u JOIN l ON l.class_id = u.cur
+      WHERE l.parent_id IS NOT NULL AND NOT list_contains(u.path, l.parent_id)),
+w AS (SELECT class_id, arg_max(path, len(path)) AS path FROM u GROUP BY class_id)
+"""
+)
+P2_ALL_PATHS_SQL = (
+    _CLIMB_SQL
+    + """,
+onloop AS (SELECT DISTINCT u.class_id FROM u JOIN l ON l.class_id = u.cur AND l.parent_id = u.class_id)
+SELECT class_id, root_id, depth, path FROM t
+UNION ALL
+SELECT w.class_id, o.root_id, CAST(-1 AS BIGINT), array_to_string(w.path, '/')
+FROM w JOIN (SELECT class_id, min(cur) AS root_id FROM u WHERE cur IN (SELECT class_id FROM onloop) GROUP BY class_id) o USING (class_id)
+"""
+)
+P2_ALL_DESCENDANTS_SQL = _CLIMB_SQL + "SELECT cur AS class_id, class_id AS descendant_id, CAST(len(path) - 1 AS BIGINT) AS distance FROM u WHERE cur <> class_id"

@@ -9,6 +9,8 @@ QUERIES = {
     "p2_found": hierarchy.p2_found,
     "p2_paths": hierarchy.p2_paths,
     "p2_descendants": hierarchy.p2_descendants,
+    "p2_all_paths": hierarchy.p2_all_paths,
+    "p2_all_descendants": hierarchy.p2_all_descendants,
     "p4_found": flatten.p4_found,
     "p4_triples": flatten.p4_triples,
     "p5_found": references.p5_found,
@@ -20,6 +22,8 @@ SQL = {
     "p2_found": hierarchy.P2_FOUND_SQL,
     "p2_paths": hierarchy.P2_PATHS_SQL,
     "p2_descendants": hierarchy.P2_DESCENDANTS_SQL,
+    "p2_all_paths": hierarchy.P2_ALL_PATHS_SQL,
+    "p2_all_descendants": hierarchy.P2_ALL_DESCENDANTS_SQL,
     "p5_found": references.P5_FOUND_SQL,
     "p5_report": references.P5_REPORT_SQL,
 }

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from factmill.operators.hierarchy import class_links, descendants, resolve_forest
+from factmill.operators.hierarchy import ancestor_paths, class_links, descendants, resolve_forest
 
 BIG = 2**62  # ids that floats can't hold
 
@@ -70,3 +70,26 @@ def test_class_links_latest_scan_and_spelling(spark, rows):
     ]
     classes = spark.createDataFrame(data, "class_id long, project_id string, fqcn string, extends string, scanned_at string, id string")
     assert rows(class_links(classes), "class_id", "parent_id") == [(1, None), (2, 1), (3, None)]
+
+
+@pytest.mark.parametrize("fragment_rows", [1000, 3])
+def test_chains_on_and_below_loops(spark, rows, fragment_rows):
+    # a tree, a loop 30 -> 10 -> 20 -> 30 with chains below two members, a node that names itself with one below
+    parent = {1: None, 2: 1, 10: 20, 20: 30, 30: 10, 41: 20, 42: 41, 43: 42, 51: 10, 60: 60, 61: 60}
+    links = spark.createDataFrame([(i, p, i % 2) for i, p in parent.items()], "id long, parent long, local long")
+    paths = {x.id: (x.root, x.depth, list(x.path)) for x in ancestor_paths(links, fragment_rows).collect()}
+    assert paths[1] == (1, 0, [1]) and paths[2] == (1, 1, [1, 2])
+    assert paths[10] == (10, -1, [30, 20, 10])
+    assert {i: p[2] for i, p in paths.items()} == {i: climb(parent, i) for i in parent}
+    assert paths[43][:2] == (10, -1) and paths[61] == (60, -1, [60, 61])
+    got = rows(descendants(ancestor_paths(links, fragment_rows)))
+    assert got == sorted(((a, i, n) for i in parent for n, a in enumerate(climb(parent, i)[::-1]) if n), key=str)
+    assert (41, 43, 2) in got and (42, 43, 1) in got  # on no loop, below one
+
+
+def climb(parent, at):
+    path = []
+    while at is not None and at not in path:
+        path.insert(0, at)
+        at = parent[at]
+    return path
