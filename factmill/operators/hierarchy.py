@@ -135,6 +135,8 @@ def loop_paths(links: DataFrame, tree: DataFrame, fragment_rows: int = FRAGMENT_
     """
     bound = tree.where(F.col("depth") < 0).select(F.col("id").alias("__i"), F.col("root").alias("loop"))
     rows = materialize(links.join(bound, F.col("id") == F.col("__i")).select("id", "parent", "local", "loop"), "loop_links")
+    if rows.isEmpty():
+        return tree.where(F.col("depth") < 0)
     # Without the link up from its smallest member each loop is the tree of what hangs on it.
     heads = F.col("id") == F.col("loop")
     cut = rows.withColumn("parent", F.when(~heads, F.col("parent")))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.operators.hierarchy import resolve_forest
+from factmill.operators.hierarchy import ancestor_paths
 
 
 def _at(order: Sequence[str]) -> Column:
@@ -125,12 +125,10 @@ def ancestry(classes: DataFrame) -> DataFrame:
     ids = classes.select("project_id", "fqcn", "extends", F.xxhash64("project_id", "fqcn").alias("id"))
     up = ids.select(F.col("project_id").alias("__p"), F.col("fqcn").alias("__f"), F.col("id").alias("parent"))
     linked = ids.join(up, (F.col("project_id") == F.col("__p")) & (F.col("extends") == F.col("__f")), "left")
-    tree = resolve_forest(linked.select("id", "parent", F.xxhash64("project_id").alias("local")), with_path=True)
-    at = ids.select(F.col("id").alias("__i"), F.col("extends").alias("base"))
-    of_trees = tree.where("depth >= 0").select("id", F.explode("path").alias("__i")).join(at, "__i").select("id", "base")
-    # On loops, and below them, every class of the loop is an ancestor: the declared parents are listed.
-    of_loops = tree.where("depth < 0").select("id").join(at.withColumnRenamed("__i", "id"), "id")
-    bases = of_trees.unionByName(of_loops).where(F.col("base").isNotNull())
+    # On loops, and below them, every class of the loop is an ancestor.
+    tree = ancestor_paths(linked.select("id", "parent", F.xxhash64("project_id").alias("local")))
+    at = ids.select(F.col("id").alias("__i"), F.col("extends").alias("base")).where(F.col("base").isNotNull())
+    bases = tree.select("id", F.explode("path").alias("__i")).join(at, "__i").select("id", "base")
     return ids.select("project_id", "fqcn", "id").join(bases, "id").select("project_id", "fqcn", "base").distinct()
 
 

@@ -52,6 +52,13 @@ def test_subclasses_end_on_loops(spark, rows):
     assert rows(R.subclasses(df, "Z"), "fqcn") == [("Z",)]
 
 
+def test_ancestry_on_and_below_loops(spark, rows):
+    data = [("p", "X", "Y"), ("p", "Y", "X"), ("p", "M", "X"), ("p", "N", "M"), ("p", "O", "N"), ("p", "A", "Base"), ("p", "B", "A")]
+    got = rows(R.ancestry(spark.createDataFrame(data, "project_id string, fqcn string, extends string")), "fqcn", "base")
+    below = {"X": "XY", "Y": "XY", "M": "XY", "N": "MXY", "O": "NMXY"}
+    assert got == sorted([(c, b) for c, bs in below.items() for b in bs] + [("A", "Base"), ("B", "A"), ("B", "Base")], key=str)
+
+
 def test_dependency_edges(spark, rows):
     owners = spark.createDataFrame([("p", "a.php", "A"), ("p", "b.php", "B"), ("q", "c.php", "C")], "project_id string, relative_path string, fqcn string")
     uses = spark.createDataFrame([("p", "a.php", "B"), ("p", "a.php", "A"), ("p", "a.php", "B"), ("p", "b.php", "C"), ("p", "b.php", None)], "project_id string, relative_path string, fqcn string")
