@@ -376,10 +376,19 @@ def shared_amounts(documents: DataFrame, repeats: DataFrame, id_column: str = "d
     return size.join(amount.join(partners, "doc_id"), "doc_id").select("doc_id", "n_chars", "shared_chars", "partners")
 
 
+def all_amounts(documents: DataFrame, repeats: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``shared_amounts`` of all texts: those without a shared span, short and null ones too, have 0 shared_chars and 0 partners."""
+    some = shared_amounts(documents, repeats, id_column, text_column).drop("n_chars")
+    size = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.char_length(text_column).cast("bigint").alias("n_chars"))
+    none = F.lit(0).cast("bigint")
+    return size.join(some, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("shared_chars", none).alias("shared_chars"), F.coalesce("partners", none).alias("partners"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_span_pairs(table(spark, sf_dir, "documents"))
 
 
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars, shared_chars, partners): one row per document, 0 and 0 where it shares nothing; n_chars is null with the text."""
     docs = table(spark, sf_dir, "documents")
-    return shared_amounts(docs, maximal_repeats(docs))
+    return all_amounts(docs, maximal_repeats(docs))

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from factmill.llm.spans import _repeats, maximal_repeats, shared_amounts, shared_span_pairs
+from factmill.llm.spans import _repeats, all_amounts, maximal_repeats, shared_amounts, shared_span_pairs
 
 SMALL = {"least": 30, "block": 4, "gram": 16}
 
@@ -110,3 +110,10 @@ def test_one_very_long_text(spark, rows):
     long = "".join(r.choice("abcdefghijklmnop ") for _ in range(400_000))
     df = spark.createDataFrame([(1, long), (2, long[200_000:200_240]), (3, long[5:204])], "doc_id long, text string")
     assert rows(shared_span_pairs(df.withColumn("x", F.lit(1)))) == [(1, 2)]
+
+
+def test_amounts_have_a_row_for_every_document(spark, rows):
+    same = "the same passage of a mail, word for word" * 2
+    df = spark.createDataFrame([(1, same), (2, "x" + same), (3, "nothing in common with the others at all, nowhere"), (4, None), (5, ""), (6, "short")], "doc_id long, text string")
+    got = rows(all_amounts(df, maximal_repeats(df, **SMALL)))
+    assert got == [(1, len(same), len(same), 1), (2, len(same) + 1, len(same), 1), (3, 49, 0, 0), (4, None, 0, 0), (5, 0, 0, 0), (6, 5, 0, 0)]
