@@ -72,6 +72,14 @@ def test_constants_end_even_in_circles():
     assert Q.constant_strings("array_merge(self::m(), ['w'])", src) == ["y", "z", "w"]
 
 
+def test_constants_of_other_classes_and_long_chains():
+    sources = {"A": "class A { const X = ['a', B::Y, self::Z]; const Z = 'z'; }", "B": "class B { const Y = ['b', A::X]; static function m() { return ['m']; } }"}
+    others = lambda name, at: (name, sources[name]) if name in sources else None
+    assert Q.constant_strings("[A::X, B::m(), Gone::X, AllowedFilter::trashed()]", None, others) == ["a", "b", "z", "m", "trashed"]
+    chain = "class C { " + "".join(f"const C{i} = [self::C{i + 1}];" for i in range(40)) + " const C40 = 'end'; }"
+    assert Q.constant_strings("self::C0", chain) == ["end"] and Q.constant_strings("[" * 30 + "'x'" + "]" * 30, None) == ["x"]
+
+
 def test_media_and_shapes():
     got = {f["path"]: f["kind"] for f in Q.media_fields("$n = ['a[]', 'b'];\n$x->addMultipleMediaFromRequest($n); addMediaFromRequest('c'); addMediaFromRequest($unknown);")}
     assert got == {"a": "collection", "b": "file", "c": "file"}

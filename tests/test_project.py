@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import project
 from factmill.functions.names import action_key
 from factmill.operators import extraction as X
-from factmill.plans.contract import answer
+from factmill.plans.contract import answer, request_fields
 from factmill.plans.summary import order_by_controllers, order_by_morphs, summary
 from factmill.sources import manifest as M
 from factmill.sources.factstore import refresh, stored_classes
@@ -180,3 +180,17 @@ def test_request_rules(spark, root):
     for change in ({"contractVersion": "v1"}, {"extra": 1}, {"runtime": good["runtime"] | {"routes": [route, route]}}, {"runtime": good["runtime"] | {"app": good["runtime"]["app"] | {"basePath": "rel"}}}, {"runtime": good["runtime"] | {"app": good["runtime"]["app"] | {"basePath": "/other"}}}, {"runtime": good["runtime"] | {"routes": [route | {"x": 1}]}}):
         with pytest.raises(M.InvalidInput):
             M.load_request(json.dumps(good | change))
+
+
+def test_allow_lists_of_other_classes(spark, rows):
+    other = "array<struct<method:string,rules:array<string>,fields:array<string>,location:string,class_name:string>>"
+    body = "return QueryBuilder::for(Book::class)->allowedFilters(Lists::NAMES)->allowedSorts(Lists::sorts())->get();"
+    action = spark.createDataFrame([("p", "C::index", body, "class C {}", "App\\Http", {"Lists": "App\\Lists"})], "project_id string, action_key string, body_text string, class_source string, namespace string, imports map<string,string>")
+    action = action.withColumn("request_usage", F.array().cast(other)).withColumn("forms", F.array().cast("array<struct<fqcn:string,source:string>>"))
+    lists = "class Lists { const NAMES = ['title', More::NAMES]; static function sorts() { return ['-year']; } }"
+    index = spark.createDataFrame(
+        [("p", "App\\Lists", lists, "App", {"More": "App\\Deep\\More"}), ("p", "App\\Deep\\More", "class More { const NAMES = ['isbn']; }", "App\\Deep", {}), ("q", "App\\Lists", "class Lists { const NAMES = 'no'; }", "App", {})],
+        "project_id string, fqcn string, source_text string, namespace string, imports map<string,string>",
+    )
+    got = {r[0] for r in rows(request_fields(action, index), "path")}
+    assert got == {"filter", "filter.title", "filter.isbn", "sort", "sort.year"}
