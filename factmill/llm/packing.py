@@ -42,7 +42,7 @@ def lower_bound_counts(sizes: np.ndarray, counts: np.ndarray, capacity: int) ->
     x = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * x).sum()) // capacity)
     many, volume = np.cumsum(count), np.cumsum(count * x)
-    t = np.unique(np.minimum(sizes, capacity // 2))[-512:]
+    t = np.unique(np.minimum(sizes, capacity // 2))
     t = t[t > 0]
     if len(t):
         # f0 with threshold t: whole containers for x > capacity - t, x itself for t <= x <= capacity - t

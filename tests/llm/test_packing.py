@@ -88,3 +88,9 @@ def test_order_of_rows_does_not_matter(spark):
 def test_exhaustive_small():
     for sizes in itertools.product(range(1, 6), repeat=4):
         assert lower_bound(np.array(sizes), 5) <= _exact(sorted(sizes, reverse=True), 5)
+
+
+def test_bound_tries_low_thresholds_among_many_sizes():
+    # threshold 101: the large ones whole, all others by volume; 901 distinct sizes
+    sizes = np.array([3996] * 500 + list(range(101, 1001)))
+    assert lower_bound(sizes, 4096) == 500 + -(-sum(range(101, 1001)) // 4096)
