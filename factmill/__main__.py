@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from factmill.sources import manifest as M
-from factmill.sources.factstore import refresh
+from factmill.sources.factstore import refresh, stored_classes
 from factmill.sources.scan import scan_project
 
 log = logging.getLogger("factmill")
@@ -24,11 +24,13 @@ def _session() -> SparkSession:
 
 def _scan(spark: SparkSession, m: M.Manifest, cache_dir: str | None):
     files = scan_project(spark, m.root, m.targets, m.vendor_whitelist, m.max_files, m.max_depth, project_id=m.root)
+    classes = None
     if m.cache_enabled:
         at = cache_dir or f"{m.root}/.factmill/cache/v3"
         r = refresh(spark, at, files.drop("partial"), m.features, m.cache_kind)
         log.info("cache=%d hit(s), %d miss(es)", r.hits, r.misses)
-    return files.drop("partial"), files.groupBy("project_id").agg(F.max("partial").alias("partial"))
+        classes = stored_classes(r.facts)
+    return files.drop("partial"), files.groupBy("project_id").agg(F.max("partial").alias("partial")), classes
 
 
 def run(m: M.Manifest, spark: SparkSession | None = None, cache_dir: str | None = None, stamp: bool = False) -> tuple[str, str]:
@@ -36,9 +38,9 @@ def run(m: M.Manifest, spark: SparkSession | None = None, cache_dir: str | None
     from factmill.plans.summary import summary
 
     spark = spark or _session()
-    files, partial = _scan(spark, m, cache_dir)
+    files, partial, classes = _scan(spark, m, cache_dir)
     when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if stamp else None
-    row = summary(files, m.features, partial, when, pretty=True).first()
+    row = summary(files, m.features, partial, when, pretty=True, classes=classes).first()
     return (row.document, row.sha256) if row else ("{}", "")
 
 
@@ -47,9 +49,9 @@ def respond(r: M.Request, spark: SparkSession | None = None, cache_dir: str | No
     from factmill.plans.contract import answer
 
     spark = spark or _session()
-    files, partial = _scan(spark, r.manifest, cache_dir)
+    files, partial, classes = _scan(spark, r.manifest, cache_dir)
     routes = M.routes_table(spark, r, r.manifest.root)
-    row = answer(files, routes, F.lit(r.request_id), F.lit(r.fingerprint), r.manifest.features, partial).first()
+    row = answer(files, routes, F.lit(r.request_id), F.lit(r.fingerprint), r.manifest.features, partial, classes).first()
     return (row.document, row.sha256) if row else ("{}", "")
 
 

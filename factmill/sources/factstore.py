@@ -3,7 +3,8 @@
 A file's facts are valid while schema version, kind, feature signature, its own
 state and the states of all files it depends on are as stored. What isn't valid
 is extracted anew; the next version of the store appears by one rename. Stored
-facts come before any global join, which always runs fresh.
+class facts come before any global join, which always runs fresh; routes,
+channels and the class index are read from the files each time.
 """
 
 from __future__ import annotations

@@ -194,3 +194,19 @@ def test_allow_lists_of_other_classes(spark, rows):
     )
     got = {r[0] for r in rows(request_fields(action, index), "path")}
     assert got == {"filter", "filter.title", "filter.isbn", "sort", "sort.year"}
+
+
+def test_second_run_reads_stored_facts(spark, root, tmp_path, monkeypatch):
+    from factmill import __main__ as cli
+
+    m = M.load_manifest(json.dumps({"project": {"root": str(root)}, "cache": {"enabled": True}}), None)
+    assert m.cache_enabled
+    plain = cli.run(m, spark, f"file://{tmp_path}/store")
+    fresh, asked = X.classes_with_methods, []
+
+    def extract(files):
+        asked.append(files.count())
+        return fresh(files)
+
+    monkeypatch.setattr(X, "classes_with_methods", extract)
+    assert cli.run(m, spark, f"file://{tmp_path}/store") == plain and asked == [0]
