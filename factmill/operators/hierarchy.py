@@ -1,23 +1,26 @@
 """Parent-child links to full hierarchies by fragment contraction.
 
-Rows are hashed into fragments of bounded size. Each fragment follows its own
+Rows are put into fragments of bounded size. Each fragment follows its own
 parent chains to where they end (a root, a loop) or leave it (an exit). The
 nodes other fragments exit to form a smaller forest with weighted links, which
-is solved the same way; its answers are then joined back to extend every
-fragment-local answer.
+is solved the same way, with fragments of the same size; its answers are then
+joined back to extend every fragment-local answer. Fragments follow chains
+upward, so every level leaves about half of the nodes of even one long chain.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factmill.functions.names import php_name
 from factmill.io import materialize, table
 
-FRAGMENT_ROWS = 250_000
+FRAGMENT_ROWS = 50_000  # rows of a fragment at most, where there are enough for every task
+LEAST_ROWS = 64  # and at least
+CENTRES = 3  # one node in so many is a centre
 
 _SHAPE = "id bigint, local bigint, exit bigint, dist bigint, low bigint, root bigint, depth bigint, seg array<bigint>"
 
@@ -66,22 +69,54 @@ def _contract(pdf: pd.DataFrame, with_path: bool) -> pd.DataFrame:
     )
 
 
-def _fragments(links: DataFrame, fragment_rows: int) -> DataFrame:
-    """``links`` with a fragment number: small localities whole, large ones cut by hash of the node."""
-    n = links.count()
-    if n <= fragment_rows:
-        return links.withColumn("frag", F.lit(0))
-    # At most n / fragment_rows localities are large; that bounds what is broadcast.
-    large = links.groupBy("local").count().where(F.col("count") > fragment_rows)
-    cut = links.join(F.broadcast(large), "local", "left")
-    bucket = F.pmod(F.xxhash64("id", F.lit(n)), F.ceil(F.col("count") / fragment_rows))
-    return cut.withColumn("frag", F.pmod(F.xxhash64("local", F.coalesce(bucket, F.lit(0))), F.lit(2 * n // fragment_rows + 1))).drop("count")
+def _is_centre(node: str, level: int) -> Column:
+    return F.pmod(F.xxhash64(node, F.lit(level)), F.lit(CENTRES)) == 0
 
 
-def _solve(links: DataFrame, fragment_rows: int, with_path: bool, level: int) -> DataFrame:
-    cut = _fragments(links, fragment_rows)
+def _clusters(links: DataFrame, level: int) -> DataFrame:
+    """(id, centre): the nearest node up the chain, at most four links away, that this level's hash makes a centre; else the node itself.
+
+    The window of links that a node knows is doubled by a join with itself. About
+    half of the nodes of any chain lie under the same centre as the node below
+    them, and contract; the next level's hash makes other centres.
+    """
+    near = links.select("id", F.when(_is_centre("id", level), F.col("id")).when(_is_centre("parent", level), F.col("parent")).alias("centre"), F.col("parent").alias("up"))
+    for _ in range(2):
+        above = near.select(F.col("id").alias("__a"), F.col("centre").alias("__c"), F.col("up").alias("__u"))
+        near = near.join(above, F.col("up") == F.col("__a"), "left").select("id", F.coalesce("centre", "__c").alias("centre"), F.col("__u").alias("up"))
+    return near.select("id", F.coalesce("centre", "id").alias("centre"))
+
+
+def _fragments(links: DataFrame, size: int | None, level: int) -> tuple[DataFrame, int]:
+    """``links`` with a fragment number, and the fragments' size, which all levels share.
+
+    Localities of at most ``size`` rows stay whole. Larger ones are cut into the
+    clusters of this level's centres, and clusters over ``size`` by hash of the node.
+    """
+    counts = links.groupBy("local").count()
+    n, most = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    if size is None:
+        tasks = links.sparkSession.sparkContext.defaultParallelism
+        size = max(LEAST_ROWS, min(FRAGMENT_ROWS, -(-n // (4 * tasks))))
+    number = F.lit(2 * n // size + 1)
+    whole = F.pmod(F.xxhash64("local"), number)
+    if most <= size:
+        return links.withColumn("frag", whole), size
+    # At most n / size localities are large, and as many clusters; that bounds what is broadcast.
+    large = F.broadcast(counts.where(F.col("count") > size).select("local"))
+    cut = links.join(large, "local", "left_semi")
+    near = materialize(_clusters(cut, level), f"clusters{level}")
+    bushy = F.broadcast(near.groupBy("centre").count().where(F.col("count") > size))
+    salt = F.coalesce(F.pmod(F.xxhash64("id", F.lit(-1)), F.ceil(F.col("count") / size)), F.lit(0))
+    near = near.join(bushy, "centre", "left").select(F.col("id").alias("__i"), F.pmod(F.xxhash64("centre", salt), number).alias("frag"))
+    cut = cut.join(near, F.col("id") == F.col("__i")).drop("__i")
+    return links.join(large, "local", "left_anti").withColumn("frag", whole).unionByName(cut), size
+
+
+def _solve(links: DataFrame, size: int | None, with_path: bool, level: int) -> DataFrame:
+    cut, size = _fragments(links, size, level)
     # pandas would turn a bigint column with nulls into floats
-    none = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("parent", "root", "depth", "local")}
+    none = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("parent", "root", "depth")}
     cut = cut.withColumn("has", F.col("parent").isNotNull()).withColumns(none)
     parts = cut.groupBy("frag").applyInPandas(lambda pdf: _contract(pdf, with_path), _SHAPE)
     local = materialize(parts, f"fragments{level}")
@@ -92,7 +127,7 @@ def _solve(links: DataFrame, fragment_rows: int, with_path: bool, level: int) ->
     heads = exits.select(F.col("exit").alias("id")).distinct()
     # Solved heads are ends of the smaller forest, the others keep their weighted link.
     smaller = local.join(heads, "id", "left_semi").select(F.col("id"), "local", F.col("exit").alias("parent"), "dist", "low", "root", "depth", "seg")
-    above = _solve(smaller, fragment_rows if level < 3 else 4 * fragment_rows, with_path, level + 1)
+    above = _solve(materialize(smaller, f"quotient{level}"), size, with_path, level + 1)
     above = above.select(F.col("id").alias("exit"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("seg").alias("s"))
     joined = exits.join(above, "exit").select(
         "id", F.col("r").alias("root"), F.when(F.col("d") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("d") + F.col("dist")).alias("depth"), F.concat("s", "seg").alias("seg")
@@ -100,7 +135,12 @@ def _solve(links: DataFrame, fragment_rows: int, with_path: bool, level: int) ->
     return done.unionByName(joined)
 
 
-def resolve_forest(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_path: bool = False) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a unique bigint ``id``, which stays the same as the rows are written once."""
+    return materialize(rows.withColumn("id", F.monotonically_increasing_id()), "numbered")
+
+
+def resolve_forest(links: DataFrame, fragment_rows: int | None = None, with_path: bool = False) -> DataFrame:
     """(id, root, depth[, path]) of every node of ``links`` (id, parent, local).
 
     ``id`` is a unique bigint, ``parent`` an id or null, ``local`` any bigint
@@ -108,10 +148,11 @@ def resolve_forest(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_pa
     climbing never ends, depth is -1, root the smallest id on the loop reached
     and path null; otherwise path runs from the root down to the node. A parent
     that is no node ends the chain as if it were null. An empty table gives an
-    empty one.
+    empty one. ``fragment_rows`` is the size of the fragments on all levels;
+    by default there are four for every task, of ``FRAGMENT_ROWS`` at most.
     """
     known = links.select(F.col("id").alias("__i"))
-    rows = links.select("id", F.col("local").cast("bigint").alias("local"), "parent").join(known, F.col("parent") == F.col("__i"), "left").select(
+    rows = links.select("id", F.coalesce(F.col("local").cast("bigint"), F.lit(0)).alias("local"), "parent").join(known, F.col("parent") == F.col("__i"), "left").select(
         "id",
         "local",
         F.col("__i").alias("parent"),
@@ -121,11 +162,11 @@ def resolve_forest(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS, with_pa
         F.when(F.col("__i").isNull(), F.lit(0)).cast("bigint").alias("depth"),
         F.array("id").alias("seg") if with_path else F.lit(None).cast("array<bigint>").alias("seg"),
     )
-    solved = _solve(rows, fragment_rows, with_path, 0)
+    solved = _solve(materialize(rows, "forest_links"), fragment_rows, with_path, 0)
     return solved.withColumnRenamed("seg", "path") if with_path else solved.drop("seg")
 
 
-def loop_paths(links: DataFrame, tree: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def loop_paths(links: DataFrame, tree: DataFrame, fragment_rows: int | None = None) -> DataFrame:
     """(id, root, depth, path) of the nodes that ``tree``, a ``resolve_forest`` of ``links``, gives depth -1.
 
     Root and depth are those of ``tree``. The path holds all distinct ancestors,
@@ -150,7 +191,7 @@ def loop_paths(links: DataFrame, tree: DataFrame, fragment_rows: int = FRAGMENT_
     return down.join(loops, "root").select("id", "root", F.lit(-1).cast("bigint").alias("depth"), whole.alias("path"))
 
 
-def ancestor_paths(links: DataFrame, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def ancestor_paths(links: DataFrame, fragment_rows: int | None = None) -> DataFrame:
     """``resolve_forest`` with paths for all nodes, those of ``loop_paths`` on and below loops."""
     tree = materialize(resolve_forest(links, fragment_rows, with_path=True), "forest")
     return tree.where(F.col("depth") >= 0).unionByName(loop_paths(links, tree, fragment_rows))
@@ -185,7 +226,7 @@ def _forest(links: DataFrame, **how) -> DataFrame:
     return resolve_forest(_nodes(links), **how)
 
 
-def p2_found(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def p2_found(spark: SparkSession, sf_dir: str, fragment_rows: int | None = None) -> DataFrame:
     links = _links(spark, sf_dir)
     child = links.where(F.col("parent_id").isNotNull()).select(F.col("class_id").alias("id"))
     found = _forest(links, fragment_rows=fragment_rows).join(child, "id", "left_semi")
@@ -196,7 +237,7 @@ def _paths(tree: DataFrame) -> DataFrame:
     return tree.select(F.col("id").alias("class_id"), F.col("root").alias("root_id"), "depth", F.concat_ws("/", F.col("path").cast("array<string>")).alias("path"))
 
 
-def p2_paths(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def p2_paths(spark: SparkSession, sf_dir: str, fragment_rows: int | None = None) -> DataFrame:
     """(class_id, root_id, depth, path): every class whose climbing ends with its path of ids from the root, joined by ``/``.
 
     Classes on and below loops have no row here; ``p2_all_paths`` has them too.
@@ -204,7 +245,7 @@ def p2_paths(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROW
     return _paths(_forest(_links(spark, sf_dir), fragment_rows=fragment_rows, with_path=True).where(F.col("depth") >= 0))
 
 
-def p2_all_paths(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def p2_all_paths(spark: SparkSession, sf_dir: str, fragment_rows: int | None = None) -> DataFrame:
     """``p2_paths`` of all classes: on and below loops with root_id and depth of ``p2_found`` and the path of ``loop_paths``."""
     return _paths(ancestor_paths(_nodes(_links(spark, sf_dir)), fragment_rows))
 
@@ -224,7 +265,7 @@ def _descendants(tree: DataFrame) -> DataFrame:
     return descendants(tree).select(F.col("ancestor").alias("class_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
-def p2_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def p2_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int | None = None) -> DataFrame:
     """(class_id, descendant_id, distance): the pairs of classes whose climbing ends.
 
     Pairs on and below loops have no row here; ``p2_all_descendants`` has them too.
@@ -232,7 +273,7 @@ def p2_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGME
     return _descendants(_forest(_links(spark, sf_dir), fragment_rows=fragment_rows, with_path=True))
 
 
-def p2_all_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def p2_all_descendants(spark: SparkSession, sf_dir: str, fragment_rows: int | None = None) -> DataFrame:
     """(class_id, descendant_id, distance): all descendants of every class, also on and below loops.
 
     On a loop every other member is a descendant; distance is the least number of links.

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.operators.hierarchy import ancestor_paths
+from factmill.operators.hierarchy import ancestor_paths, numbered
 
 
 def _at(order: Sequence[str]) -> Column:
@@ -122,7 +122,7 @@ def ancestry(classes: DataFrame) -> DataFrame:
     ``classes`` is (project_id, fqcn, extends), one row per class. A class is a
     subclass of whatever base it is listed with, known or not.
     """
-    ids = classes.select("project_id", "fqcn", "extends", F.xxhash64("project_id", "fqcn").alias("id"))
+    ids = numbered(classes.select("project_id", "fqcn", "extends"))
     up = ids.select(F.col("project_id").alias("__p"), F.col("fqcn").alias("__f"), F.col("id").alias("parent"))
     linked = ids.join(up, (F.col("project_id") == F.col("__p")) & (F.col("extends") == F.col("__f")), "left")
     # On loops, and below them, every class of the loop is an ancestor.
