@@ -51,6 +51,14 @@ def temporary_tables(spark: SparkSession):
             _delete(spark, path)
 
 
+def register_temporary(spark: SparkSession, path: str) -> None:
+    """The folder goes at the end of the innermost ``temporary_tables``, else when Python exits."""
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_delete, spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a Parquet table in the shared folder and read back.
 
@@ -61,8 +69,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
-    else:
-        atexit.register(_delete, spark, path)
+    register_temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -63,26 +63,23 @@ class Refresh:
     misses: int
 
 
-def stale_files(states: DataFrame, stored: DataFrame, signature: str, kind: str) -> DataFrame:
-    """Rows of ``states`` that the store has no valid facts for."""
-    same = stored.where((F.col("schema_version") == SCHEMA_VERSION) & (F.col("kind") == kind) & (F.col("signature") == signature))
-    members = same.select("project_id", F.col("relative_path").alias("of"), F.explode("dependencies").alias("d")).select("project_id", "of", "d.*")
-    gone = unheld(members, states, ["project_id", "relative_path"], STATE)
-    valid = same.join(gone.select("project_id", F.col("of").alias("relative_path")).distinct(), ["project_id", "relative_path"], "left_anti")
-    return unheld(states, valid, ["project_id", "relative_path"], STATE)
-
-
 def refresh(spark: SparkSession, path: str, files: DataFrame, features: dict[str, bool], kind: str = "sha256+mtime") -> Refresh:
     """Bring the store at ``path`` up to ``files`` (with modified_ms and size_bytes) and publish the next version.
 
-    Files that left are dropped. A run that fails publishes nothing.
+    Only what changed is written; where nothing did, the version stays. Files
+    that left are dropped. A run that fails publishes nothing, and one that
+    another run overtook raises ``Conflict``.
     """
-    target = StateTarget(spark, path, ["project_id", "relative_path"], STATE)
+    key = ["project_id", "relative_path"]
+    target = StateTarget(spark, path, key, STATE, dependencies="dependencies")
     signature = feature_signature(features)
     states = materialize(current_states(files, kind), "states")
-    stored = target.read()
-    stale = states if stored is None else stale_files(states, stored, signature, kind)
-    stale = materialize(stale, "stale")
+    before = target.current()
+    if before is not None:
+        # facts of another schema, kind or signature are as good as none
+        same = (F.col("schema_version") == SCHEMA_VERSION) & (F.col("kind") == kind) & (F.col("signature") == signature)
+        held = unheld(states, target.held(states, before).where(same), key, STATE)
+    stale = materialize(states if before is None else held, "stale")
     todo = files.join(stale.select("project_id", "relative_path"), ["project_id", "relative_path"], "left_semi")
     full = X.classes_with_methods(todo)
     blocks = full.groupBy("project_id", "relative_path").agg(
@@ -102,10 +99,14 @@ def refresh(spark: SparkSession, path: str, files: DataFrame, features: dict[str
         F.coalesce("dependencies", none).alias("dependencies"), "classes",
     )
     total, misses = states.count(), stale.count()
-    if stored is not None:
-        fresh = unheld(states, stale, ["project_id", "relative_path"], STATE).select("project_id", "relative_path")
-        made = stored.join(fresh, ["project_id", "relative_path"], "left_semi").unionByName(made)
-    version = target.publish(made)
+    keys = stale.select(*key)
+    if before is not None:
+        keys = keys.unionByName(target.read(before).select(*key).join(states, key, "left_anti"))
+    keys = materialize(keys.distinct(), "spoken")
+    version = before
+    if before is None or not keys.isEmpty():
+        version = target.publish(made, before, keys)
+        target.vacuum()
     return Refresh(version, target.read(version), total - misses, misses)
 
 

@@ -11,10 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.operators.incremental import StateTarget
+from factmill.io import materialize, temporary_tables
+from factmill.operators.incremental import STATE, StateTarget
 from factmill.sources.factstore import refresh
 
 
+KEY = ["project_id", "relative_path"]
+
+
 def latest_states(rows: DataFrame) -> DataFrame:
     """Of every file the row with the greatest modified_ms, then ingested_at; repeats count once."""
     rest = [c for c in rows.columns if c not in ("project_id", "relative_path")]
@@ -26,11 +30,19 @@ def start_intake(spark: SparkSession, arriving: DataFrame, state_path: str, stor
     """A streaming query that keeps the files table at ``state_path`` and the fact store at ``store_path`` up to date."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        files = StateTarget(spark, state_path, ["project_id", "relative_path"], ["modified_ms", "size_bytes", "sha256"])
-        known = files.read()
-        merged = latest_states(rows if known is None else known.unionByName(rows))
-        files.publish(merged)
-        refresh(spark, store_path, files.read(), features, kind)
+        with temporary_tables(spark):
+            files = StateTarget(spark, state_path, KEY, STATE)
+            before = files.current()
+            come = materialize(latest_states(rows), "come")
+            if before is not None:
+                # what is older than the row known already changes nothing; a replayed batch is all of that
+                known = files.read(before).select(*KEY, F.struct("modified_ms", "ingested_at").alias("__known"))
+                newer = F.col("__known").isNull() | (F.struct("modified_ms", "ingested_at") > F.col("__known"))
+                come = materialize(come.join(known, KEY, "left").where(newer).drop("__known"), "newer")
+            if before is None or not come.isEmpty():
+                before = files.publish(come, before, come.select(*KEY))
+                files.vacuum()
+            refresh(spark, store_path, files.read(before), features, kind)
 
     return arriving.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

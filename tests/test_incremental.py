@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factmill.operators.incremental import StateTarget, final_status, unheld, unprocessed_files
+from factmill.operators.incremental import Conflict, StateTarget, final_status, unheld, unprocessed_files
 
 FILES = "file_id long, project_id string, relative_path string, modified_ms long, size_bytes long, sha256 string, kind string, d string"
 ENTRIES = "entry_id long, run_id long, project_id string, schema_version string, kind string, relative_path string, modified_ms long, size_bytes long, sha256 string, dependencies array<struct<relative_path string, modified_ms long, size_bytes long, sha256 string>>, stored_at timestamp"
@@ -84,3 +84,61 @@ def test_target_processes_each_change_once_and_survives_failures(spark, rows, tm
     assert done == [2, 2, 0]
     with pytest.raises(RuntimeError):
         at.publish(changed, after=1)  # another run was first
+
+
+def _target(spark, tmp_path, **how):
+    return StateTarget(spark, f"file://{tmp_path}/t", ["k"], ["v"], **how)
+
+
+def _kv(spark, *rows):
+    return spark.createDataFrame(list(rows), "k long, v long, x string")
+
+
+def test_of_two_interleaved_writers_one_fails_and_loses_nothing(spark, rows, tmp_path):
+    one, two = _target(spark, tmp_path), _target(spark, tmp_path)
+    src = _kv(spark, (1, 1, "a"), (2, 1, "b"))
+    assert one.run(src, lambda df: df) == 1
+    after = one.current()
+
+    def slow(df):  # while this run works, another one reads the same version and publishes first
+        assert two.run(_kv(spark, (1, 3, "two"), (2, 1, "b")), lambda d: d) == 2
+        return df
+
+    with pytest.raises(Conflict):
+        one.run(_kv(spark, (1, 2, "one"), (2, 1, "b")), slow)
+    assert rows(one.read()) == [(1, 3, "two"), (2, 1, "b")]
+    for writer in (one, two):
+        with pytest.raises(Conflict):
+            writer.publish(src, after)
+    assert len(one.parts(2)) == 2
+    one.vacuum(keep=1)
+    assert one._numbers() == [2] and rows(one.read()) == [(1, 3, "two"), (2, 1, "b")]
+    left = {p.name for p in (tmp_path / "t" / "parts").iterdir()}
+    assert left == set(one.parts(2))
+
+
+def test_runs_write_changes_only_and_parts_are_merged(spark, rows, tmp_path):
+    t = _target(spark, tmp_path)
+    state = {k: (1, "a") for k in range(3)}
+    for n in range(2, 13):
+        state[n % 3] = (n, "b")
+        state[100 + n] = (n, "c")
+        version = t.run(_kv(spark, *[(k, *x) for k, x in state.items()]), lambda df: df)
+        assert rows(t.read()) == sorted([(k, *x) for k, x in state.items()], key=str)
+        assert version == n - 1 and len(t.parts(version)) <= 8
+    assert t.run(_kv(spark, *[(k, *x) for k, x in state.items()]), lambda df: df) == version  # nothing to do
+    assert t.run(_kv(spark, (None, 1, "n"), (None, 1, "n"), (5, 5, "e")), lambda df: df) == version + 1
+    assert t.run(_kv(spark, (None, 2, "m"), (5, 5, "e")), lambda df: df) == version + 2
+    assert rows(t.read()) == sorted([(None, 2, "m"), (5, 5, "e")], key=str)
+
+
+def test_target_with_dependencies(spark, rows, tmp_path):
+    dep = "array<struct<k long, v long>>"
+    t = _target(spark, tmp_path, dependencies="deps")
+    src = _kv(spark, (1, 1, "a"), (2, 1, "b"), (3, 1, "c"))
+    on = {1: "array(struct(2L, 1L))", 2: "null", 3: "array()"}
+    deps = "CASE k " + " ".join(f"WHEN {k} THEN CAST({e} AS {dep.replace(' long', ':long')})" for k, e in on.items()) + " END"
+    t.publish(src.selectExpr("*", f"{deps} AS deps"), None)
+    assert rows(t.pending(src)) == []
+    assert rows(t.pending(_kv(spark, (1, 1, "a"), (2, 2, "b"), (3, 1, "c"))), "k") == [(1,), (2,)]
+    assert rows(t.pending(_kv(spark, (1, 1, "a"), (3, 1, "c"))), "k") == [(1,)]
