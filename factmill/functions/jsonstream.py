@@ -8,6 +8,7 @@ Half a surrogate pair becomes U+FFFD.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from json.decoder import scanstring
@@ -134,6 +135,99 @@ def _looks_nested(v: object) -> bool:
     return isinstance(v, str) and v.lstrip(" \t\n\r")[:1] in ("{", "[", '"')
 
 
+def _constant(word: str) -> None:
+    raise NotJson(word)
+
+
+# A number too long for int() stays a text; the scanner leaves NaN and the like to parse_constant.
+_DECODER = json.JSONDecoder(parse_constant=_constant, parse_int=lambda t: t if len(t) > 4000 else int(t))
+
+
+def _sound(v: str) -> str:
+    """Half a surrogate pair, which no table can hold, becomes U+FFFD."""
+    try:
+        v.encode()
+        return v
+    except UnicodeEncodeError:
+        return v.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def _parsed(text: str) -> tuple[bool, object]:
+    try:
+        if text.startswith("\ufeff"):
+            return False, None
+        return True, _DECODER.decode(text)
+    except ValueError:
+        return False, None
+    except RecursionError:
+        return _deep(text)
+
+
+def _deep(text: str) -> tuple[bool, object]:
+    """The tree of a record nested too deep for the C scanner, put together from the streaming reader's leaves."""
+    box: dict = {}
+    try:
+        for path, v in events(text):
+            at, key = box, ""
+            for step in path:
+                if type(at.get(key)) is not dict:
+                    at[key] = {}
+                at, key = at[key], step
+            at[key] = {} if v is EMPTY_OBJECT else [] if v is EMPTY_ARRAY else v
+    except NotJson:
+        return False, None
+    # Ordinals are numbers, keys are texts: what is numbered becomes a list, the deepest first.
+    nodes: list[tuple[dict, object]] = [(box, "")]
+    for at, key in nodes:
+        if type(at[key]) is dict:
+            nodes.extend((at[key], k) for k in at[key])
+    for at, key in reversed(nodes):
+        v = at[key]
+        if type(v) is dict and v and type(next(iter(v))) is int:
+            at[key] = list(v.values())
+    return True, box[""]
+
+
+def tree(text: str) -> tuple[bool, object]:
+    """(whether the text is whole JSON, its value), strings that hold an object or array being read in their place."""
+    found, root = _parsed(text)
+    if not found:
+        return False, None
+    box = [root]
+    todo: list = [box]
+    while todo:
+        v = todo.pop()
+        pairs = enumerate(v) if type(v) is list else list(v.items())
+        for k, x in pairs:
+            if type(x) is str:
+                if x[:1] in _OPENERS and (x.lstrip(" \t\n\r")[:1] in ("{", "[", '"')):
+                    x = v[k] = _inner(x)
+                if type(x) is str:
+                    if not x.isascii():
+                        v[k] = _sound(x)
+                    continue
+            if type(x) is dict or type(x) is list:
+                todo.append(x)
+        if type(v) is dict and not all(map(str.isascii, v)):
+            fixed = {_sound(k): x for k, x in v.items()}
+            v.clear()
+            v.update(fixed)
+    return True, box[0]
+
+
+_OPENERS = ("{", "[", '"', " ", "\t", "\n", "\r")
+
+
+def _inner(text: str) -> object:
+    """The object or array that a string leads to, at any number of wrappings; else the string."""
+    v: object = text
+    while type(v) is str and v.lstrip(" \t\n\r")[:1] in ("{", "[", '"'):
+        found, v = _parsed(v)
+        if not found:
+            return text
+    return v if type(v) is dict or type(v) is list else text
+
+
 def leaves(text: str | None, embedded: bool = True) -> list[tuple[tuple, object]]:
     """(path, value) of every leaf; nothing where the text is null or isn't whole JSON.
 

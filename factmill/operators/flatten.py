@@ -1,23 +1,31 @@
 """Deeply nested records to related flat tables.
 
-Each record is stream-parsed into path-value-ordinal triples. A path is grouped
-by its repeated ancestors (the arrays, or objects keyed by name, it passes
-through); every group becomes one table whose rows carry the ordinals of all
-their repeated ancestors, which link them to their parents' rows.
+Each record is read into path-value-ordinal triples. A path is grouped by its
+repeated ancestors (the arrays, or objects keyed by name, it passes through);
+every group becomes one table whose rows carry the ancestor's path and the
+ordinals of all repeated ancestors, which link them to their parents' rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factmill.functions.jsonstream import Empty, leaves
-from factmill.io import table
+from factmill.functions.jsonstream import Empty, tree
+from factmill.io import materialize, table
 
-TRIPLES = "record_id bigint, path string, ordinals array<bigint>, value string"
+TRIPLES = "record_id bigint, version bigint, path string, ordinals array<bigint>, value string, is_text boolean"
+LINK = ["record_id", "version", "path", "ordinals"]
+_SPECIAL = re.compile(r"[\\.\[\]{}@]")
+
+
+def _step(key: str) -> str:
+    """A key as a step of a path, its special characters behind a backslash."""
+    return _SPECIAL.sub(r"\\\g<0>", key) if _SPECIAL.search(key) else key
 
 
 def _text(v: object) -> str | None:
@@ -28,127 +36,208 @@ def _text(v: object) -> str | None:
     return v.kind if isinstance(v, Empty) else repr(v) if isinstance(v, float) else str(v)
 
 
-def record_triples(text: str | None) -> Iterator[tuple[str, list[int], object]]:
-    """(path, ordinals, value): array steps are ``[]`` in the path, their places are the ordinals."""
-    for steps, v in leaves(text):
-        yield ".".join("[]" if isinstance(s, int) else s for s in steps), [s for s in steps if isinstance(s, int)], v
+def record_triples(text: str | None, keyed: dict[str, frozenset[str]] | None = None) -> list[tuple[str, tuple, object]]:
+    """(path, ordinals, value) of every leaf of a record.
+
+    A path is its keys joined by dots, ``[]`` for the members of an array; their
+    places are the ordinals. ``keyed`` names keys whose object is keyed by name
+    unless it holds one of the given keys itself: its members are ``{}``, places
+    count as in an array, and the name is the leaf ``@key`` of each.
+    """
+    out: list[tuple[str, tuple, object]] = []
+    found, root = tree(text) if text is not None else (False, None)
+    if not found:
+        return out
+    # A node is [node above, step, ordinal, path, ordinals]; the latter two are filled in where a leaf hangs on it.
+    if type(root) is not dict and type(root) is not list:
+        return [("", (), root)]
+    todo: list[tuple[list, object, frozenset | None]] = [([None, "", None, "", ()], root, None)]
+    while todo:
+        node, v, marks = todo.pop()
+        if not v:
+            out.append((*_place_of(node), Empty("{}" if type(v) is dict else "[]")))
+        elif type(v) is list:
+            lead = None
+            for i, x in enumerate(v):
+                if type(x) is dict or type(x) is list:
+                    todo.append(([node, "[]", i, None, None], x, None))
+                else:
+                    if lead is None:
+                        path, at = _place_of(node)
+                        lead = path + ".[]" if path else "[]"
+                    out.append((lead, (*at, i), x))
+        elif marks is not None and not any(k in marks for k in v):
+            path, at = _place_of(node)
+            lead = path + ".{}" if path else "{}"
+            for i, (k, x) in enumerate(v.items()):
+                out.append((lead + ".@key", (*at, i), k))
+                if type(x) is dict or type(x) is list:
+                    todo.append(([node, "{}", i, None, None], x, None))
+                else:
+                    out.append((lead, (*at, i), x))
+        else:
+            lead = None
+            for k, x in v.items():
+                if type(x) is dict or type(x) is list:
+                    todo.append(([node, _step(k), None, None, None], x, keyed.get(k) if keyed else None))
+                else:
+                    if lead is None:
+                        path, at = _place_of(node)
+                        lead = path + "." if path else ""
+                    out.append((lead + _step(k), at, x))
+    return out
+
 
+def _place_of(node: list) -> tuple[str, tuple]:
+    """(path, ordinals) of a node, put together from the nodes above it only now."""
+    if node[3] is None:
+        chain, up = [node], node[0]
+        while up[3] is None:
+            chain.append(up)
+            up = up[0]
+        chain.reverse()
+        node[3] = ".".join([up[3], *[n[1] for n in chain]] if up[3] else [n[1] for n in chain])
+        node[4] = (*up[4], *[n[2] for n in chain if n[2] is not None])
+    return node[3], node[4]
 
-def triples(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(record_id, path, ordinals, value) of every leaf of every record, values as JSON texts without quotes.
 
-    Null texts and texts that aren't whole JSON give no triples. Equal rows give
-    equal triples; make ids unique first where that matters.
+def triples(records: DataFrame, id_column: str, text_column: str, keyed: dict[str, Iterable[str]] | None = None) -> DataFrame:
+    """(record_id, version, path, ordinals, value, is_text) of every leaf of every record, see ``record_triples``.
+
+    Values are JSON texts without quotes; ``is_text`` tells strings from others.
+    A string that itself holds an object or array is read in its place. The
+    version is a hash of the text: texts that share an id stay apart, and repeats
+    of a row give equal triples, which fall together when groups are pivoted.
+    Null texts and texts that aren't whole JSON give no triples.
     """
+    marks = {k: frozenset(v) for k, v in (keyed or {}).items()}
 
     def run(batches):
-        for pdf in batches:
-            rows = [(i, p, o, _text(v)) for i, t in zip(pdf["id"], pdf["text"]) for p, o, v in record_triples(t)]
-            yield pd.DataFrame(rows, columns=["record_id", "path", "ordinals", "value"])
+        for batch in batches:
+            ids, versions, texts = (batch.column(i).to_pylist() for i in range(3))
+            many: list[int] = []
+            paths: list[str] = []
+            flat: list[int] = []
+            ends = [0]
+            values: list[str | None] = []
+            strings: list[bool] = []
+            for t in texts:
+                rows = record_triples(t, marks)
+                many.append(len(rows))
+                for p, o, v in rows:
+                    paths.append(p)
+                    flat += o
+                    ends.append(len(flat))
+                    values.append(v if type(v) is str else _text(v))
+                    strings.append(type(v) is str)
+            each = pa.array([i for i, n in enumerate(many) for _ in range(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(each), batch.column(1).take(each), pa.array(paths, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())), pa.array(values, pa.string()), pa.array(strings)],
+                names=[c.split()[0] for c in TRIPLES.split(", ")],
+            )
+
+    rows = records.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text_column).alias("version"), F.col(text_column).alias("text"))
+    return rows.where("text is not null").mapInArrow(run, TRIPLES)
+
 
-    return records.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).mapInPandas(run, TRIPLES)
+def places(path: Column) -> Column:
+    """Number of ordinals that belong to a path."""
+    return F.size(F.split(path, r"\[\]|\{\}")) - 1
 
 
-def pivot_group(found: DataFrame, ancestor: str, columns: dict[str, str]) -> DataFrame:
-    """One flat table: the leaves below the repeated ``ancestor`` path, one row per record and place.
+def pivot_group(found: DataFrame, ancestor: str, columns: dict[str, str | Sequence[str]]) -> DataFrame:
+    """One flat table: the leaves below a repeated ancestor, one row per record, ancestor and place.
 
-    ``columns`` maps column names to paths below the ancestor. The row's
-    ``ordinals`` link it to the parent table's row with one ordinal less.
+    ``ancestor`` is a regular expression of the ancestors' paths, ``columns`` maps
+    column names to the member's path below them or to several ones, the first
+    that is there holding; of an empty path the value is the ancestor itself.
+    ``LINK`` names a row; ``parent`` gives that of the row above. Rows
+    that repeat fall together.
     """
-    depth = ancestor.count("[]")
-    below = {f"{ancestor}.{p}" if p else ancestor: c for c, p in columns.items()}
-    rows = found.where(F.col("path").isin(list(below)))
-    value = [F.max(F.when(F.col("path") == p, F.col("value"))).alias(c) for p, c in below.items()]
-    return rows.groupBy("record_id", F.slice("ordinals", 1, depth).alias("ordinals")).agg(*value)
-
-
-# Keys of the usage lists of a method, by kind, with the member that is reported.
-_USAGE = {
-    "requestUsage": ("rule", "rules"),
-    "request_usage": ("rule", "rules"),
-    "scopesUsed": ("scope", "name"),
-    "scopes_used": ("scope", "name"),
-    "resourceUsage": ("resource", "class"),
-    "resource_usage": ("resource", "class"),
-}
-USAGES = "delta_id bigint, controller string, method_name string, kind string, usage_pos bigint, item_pos bigint, item string"
-
-
-def _usage_rows(text: str | None) -> list[tuple]:
-    """Rows of one payload: triples, grouped by repeated ancestor, pivoted and linked upward."""
-    controllers: dict[tuple, str] = {}
-    methods: dict[tuple, dict[str, str]] = {}
-    items: list[tuple] = []
-    for path, value in leaves(text):
-        # the last `controllers` with `methods` below it is the controller's ancestor
-        if "controllers" not in path:
-            continue
-        c = len(path) - 1 - path[::-1].index("controllers")
-        k = c + 1
-        if k < len(path) and isinstance(path[k], int):
-            k += 1
-        owner, rest = path[:k], path[k:]
-        if rest == ("class",):
-            if isinstance(value, str):
-                controllers[owner] = value
-            continue
-        if not rest or rest[0] != "methods":
-            continue
-        rest = rest[1:]
-        if not rest:
-            continue
-        if isinstance(rest[0], int):
-            method, rest, key = owner + (rest[0],), rest[1:], None
-        elif rest[0] in _USAGE or (rest == ("name",) and isinstance(value, str)):
-            method, key = owner + (None,), None  # one method standing alone
-        else:
-            method, rest, key = owner + (rest[0],), rest[1:], rest[0]
-        if key is not None:
-            methods.setdefault(method, {})["key"] = key
-        if rest == ("name",):
-            if isinstance(value, str):
-                methods.setdefault(method, {})["name"] = value
-            continue
-        if not rest or rest[0] not in _USAGE or not isinstance(value, str):
-            continue
-        kind, member = _USAGE[rest[0]]
-        rest = rest[1:]
-        pos = 0
-        if rest and isinstance(rest[0], int):
-            pos, rest = rest[0], rest[1:]
-        if kind == "scope" and not rest:
-            items.append((owner, method, kind, pos, 0, value))
-        elif rest and rest[0] == member:
-            if len(rest) == 1:
-                items.append((owner, method, kind, pos, 0, value))
-            elif kind == "rule" and len(rest) == 2 and isinstance(rest[1], int):
-                items.append((owner, method, kind, pos, rest[1], value))
-    out: dict[tuple, tuple] = {}
-    for owner, method, kind, pos, place, value in items:
-        m = methods.get(method, {})
-        # of a key given twice in one object the last value holds
-        out[owner, method, kind, pos, place] = (controllers.get(owner), m.get("key", m.get("name")), kind, pos, place, value)
-    return list(out.values())
+    names = {c: [p] if isinstance(p, str) else list(p) for c, p in columns.items()}
+    members = sorted({re.escape(p) for ps in names.values() for p in ps if p}, key=len, reverse=True)
+    bare = any(p == "" for ps in names.values() for p in ps)
+    tail = (r"(?:\.(" + "|".join(members) + "))" if members else "()") + ("?" if bare else "")
+    whole = rf"^({ancestor}){tail}$"
+    last = re.compile(whole).groups
+    rows = found.where(F.col("path").rlike(whole)).select("record_id", "version", F.regexp_extract("path", whole, 1).alias("path"), F.regexp_extract("path", whole, last).alias("__m"), "ordinals", "value")
+    rows = rows.withColumn("ordinals", F.slice("ordinals", 1, places(F.col("path"))))
+    value = [F.coalesce(*[F.max(F.when(F.col("__m") == p, F.col("value"))) for p in ps]).alias(c) for c, ps in names.items()]
+    return rows.groupBy(*LINK).agg(*value)
+
+
+def parent(rows: DataFrame, ancestor: str, name: str) -> DataFrame:
+    """``rows`` with ``<name>_path`` and ``<name>_ordinals``: the ``LINK`` of the row above, ``ancestor`` being its path."""
+    up = F.regexp_extract("path", rf"^({ancestor})(?:\.|$)", 1)
+    return rows.withColumn(f"{name}_path", up).withColumn(f"{name}_ordinals", F.slice("ordinals", 1, places(F.col(f"{name}_path"))))
+
+
+# Keys of the usage lists of a method, by kind.
+REQUEST, SCOPE, RESOURCE = ("requestUsage", "request_usage"), ("scopesUsed", "scopes_used"), ("resourceUsage", "resource_usage")
+KEYED = {"methods": frozenset((*REQUEST, *SCOPE, *RESOURCE, "name"))}
+_ONE = "|".join
+# The last `controllers` above a method is its controller's; lists may stand alone as one member.
+CONTROLLER = r"(?:.*\.)?controllers(?:\.\[\])?"
+METHOD = CONTROLLER + r"\.methods(?:\.\[\]|\.\{\})?"
+USAGE = METHOD + rf"\.(?:{_ONE((*REQUEST, *SCOPE, *RESOURCE))})(?:\.\[\])?"
+ITEM = METHOD + rf"\.(?:(?:{_ONE(REQUEST)})(?:\.\[\])?\.rules(?:\.\[\])?|(?:{_ONE(SCOPE)})(?:\.\[\])?(?:\.name)?|(?:{_ONE(RESOURCE)})(?:\.\[\])?\.class)"
+
+
+def _kind(path: str) -> Column:
+    key = F.regexp_extract(path, rf"^{METHOD}\.({_ONE((*REQUEST, *SCOPE, *RESOURCE))})", 1)
+    return F.when(key.isin(*REQUEST), "rule").when(key.isin(*SCOPE), "scope").otherwise("resource")
+
+
+def usage_triples(deltas: DataFrame, id_column: str = "delta_id", text_column: str = "payload") -> DataFrame:
+    """The texts among the triples that speak of controllers, methods, usages and their items, written once."""
+    found = triples(deltas.where(F.col(id_column).isNotNull()), id_column, text_column, KEYED).where("is_text")
+    return materialize(found.where(F.contains("path", F.lit("controllers"))), "usage_triples")
+
+
+def controller_rows(found: DataFrame) -> DataFrame:
+    """(LINK, class, file)."""
+    return pivot_group(found, CONTROLLER, {"class": "class", "file": "file"})
+
+
+def method_rows(found: DataFrame) -> DataFrame:
+    """(LINK, controller_path, controller_ordinals, name): keyed methods are named by their key."""
+    return parent(pivot_group(found, METHOD, {"name": ("@key", "name")}), CONTROLLER, "controller")
+
+
+def usage_rows(found: DataFrame) -> DataFrame:
+    """(LINK, method_path, method_ordinals, kind, usage_pos, method, class, name, location, on): usages that have any text of these."""
+    rows = pivot_group(found, USAGE, {"method": "method", "class": "class", "name": ("name", ""), "location": "location", "on": "on"})
+    rows = parent(rows, METHOD, "method").withColumn("kind", _kind("path"))
+    return rows.withColumn("usage_pos", F.coalesce(F.get("ordinals", F.size("method_ordinals")), F.lit(0)).cast("bigint"))
+
+
+def item_rows(found: DataFrame) -> DataFrame:
+    """(LINK, method_path, method_ordinals, kind, usage_pos, item_pos, item): rules, scope names and resource classes."""
+    rows = parent(parent(pivot_group(found, ITEM, {"item": ""}), METHOD, "method"), USAGE, "usage").withColumn("kind", _kind("path"))
+    at = lambda up, down: F.when(F.size(down) > F.size(up), F.element_at(down, -1)).otherwise(0).cast("bigint")
+    return rows.withColumn("usage_pos", at(F.col("method_ordinals"), F.col("usage_ordinals"))).withColumn("item_pos", at(F.col("usage_ordinals"), F.col("ordinals")))
+
+
+def _linked(rows: DataFrame, above: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
+    """``rows`` with columns of the rows above; the reference stays where there is none."""
+    up = above.select(*[F.col(c).alias(f"__{c}") for c in LINK], *[F.col(c).alias(n) for c, n in columns.items()])
+    on = (F.col("record_id") == F.col("__record_id")) & (F.col("version") == F.col("__version")) & (F.col(f"{name}_path") == F.col("__path")) & (F.col(f"{name}_ordinals") == F.col("__ordinals"))
+    return rows.join(up, on, "left").drop(*[f"__{c}" for c in LINK])
 
 
 def usages(deltas: DataFrame, id_column: str = "delta_id", text_column: str = "payload") -> DataFrame:
-    """(delta_id, controller, method_name, kind, usage_pos, item_pos, item), see ``USAGES``.
+    """(delta_id, controller, method_name, kind, usage_pos, item_pos, item), the items linked to their methods and controllers.
 
     One row per non-null string among the rules of a requestUsage, the names of
     a scopesUsed and the classes of a resourceUsage of a controller's method.
     Repeated input rows count once; null, empty and broken payloads give nothing;
     a controller without class or a method without name gives a null there.
     """
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, *r) for i, t in zip(pdf["id"], pdf["text"]) for r in _usage_rows(t)]
-            yield pd.DataFrame(rows, columns=["delta_id", "controller", "method_name", "kind", "usage_pos", "item_pos", "item"])
-
-    # Repeats fall together by a hash of the text; the text itself is not a sort key.
-    once = deltas.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
-    once = once.groupBy("id", F.xxhash64("text").alias("h1"), F.sha2("text", 256).alias("h2")).agg(F.first("text").alias("text"))
-    return once.select("id", "text").mapInPandas(run, USAGES)
+    found = usage_triples(deltas, id_column, text_column)
+    # A method without a text of its own has no row, so the controller is linked to the item itself.
+    items = _linked(item_rows(found), method_rows(found), "method", {"name": "method_name"})
+    items = _linked(parent(items, CONTROLLER, "controller"), controller_rows(found), "controller", {"class": "controller"})
+    return items.select(F.col("record_id").alias("delta_id"), "controller", "method_name", "kind", "usage_pos", "item_pos", "item")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,5 +246,89 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, leaves, records): how often each leaf path occurs, over all payloads that are whole JSON."""
-    found = triples(table(spark, sf_dir, "analysis_deltas").dropDuplicates(["delta_id"]), "delta_id", "payload")
-    return found.groupBy("path").agg(F.count("*").alias("leaves"), F.countDistinct("record_id").alias("records"))
+    found = triples(table(spark, sf_dir, "analysis_deltas").select("delta_id", "payload").distinct(), "delta_id", "payload")
+    return found.groupBy("path").agg(F.count("*").alias("leaves"), F.count_distinct("record_id").alias("records"))
+
+
+def _place(c: str) -> Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ".").alias(c)
+
+
+def p4_controllers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(delta_id, path, ordinals, class, file)."""
+    rows = controller_rows(usage_triples(table(spark, sf_dir, "analysis_deltas")))
+    return rows.select(F.col("record_id").alias("delta_id"), "path", _place("ordinals"), "class", "file")
+
+
+def p4_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(delta_id, path, ordinals, controller_path, controller_ordinals, name)."""
+    rows = method_rows(usage_triples(table(spark, sf_dir, "analysis_deltas")))
+    return rows.select(F.col("record_id").alias("delta_id"), "path", _place("ordinals"), "controller_path", _place("controller_ordinals"), "name")
+
+
+def p4_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(delta_id, path, ordinals, method_path, method_ordinals, kind, usage_pos, method, class, name, location, on)."""
+    rows = usage_rows(usage_triples(table(spark, sf_dir, "analysis_deltas")))
+    return rows.select(F.col("record_id").alias("delta_id"), "path", _place("ordinals"), "method_path", _place("method_ordinals"), "kind", "usage_pos", "method", "class", "name", "location", "on")
+
+
+# Every node of every payload by recursion, with the path and ordinals that triples have.
+_NODES_SQL = r"""
+WITH RECURSIVE src AS (SELECT DISTINCT delta_id, payload FROM analysis_deltas WHERE delta_id IS NOT NULL AND json_valid(payload)),
+n AS (
+  SELECT delta_id, payload, CAST(payload AS JSON) AS v, '' AS path, CAST([] AS BIGINT[]) AS ords, CAST(NULL AS VARCHAR) AS name FROM src
+  UNION ALL
+  SELECT n.delta_id, n.payload, x.v, CASE WHEN x.step = '' THEN n.path WHEN n.path = '' THEN x.step ELSE n.path || '.' || x.step END,
+    CASE WHEN x.ord IS NULL THEN n.ords ELSE list_append(n.ords, x.ord) END, x.name FROM n, LATERAL (
+    SELECT CASE WHEN o.keyed THEN '{}' WHEN o.list THEN '[]' ELSE e.key END AS step, CASE WHEN o.keyed THEN list_position(json_keys(n.v), e.key) - 1 WHEN o.list THEN CAST(e.key AS BIGINT) END AS ord,
+      CASE WHEN o.keyed THEN e.key END AS name, e.value AS v
+    FROM json_each(n.v) e, (SELECT json_type(n.v) = 'ARRAY' AS list, json_type(n.v) = 'OBJECT' AND regexp_matches(n.path, '(^|\.)methods$') AND NOT
+      list_has_any(json_keys(n.v), ['requestUsage', 'request_usage', 'scopesUsed', 'scopes_used', 'resourceUsage', 'resource_usage', 'name']) AS keyed) o WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+    UNION ALL
+    SELECT '', NULL, n.name, CAST(n.v ->> '$' AS JSON) WHERE json_type(n.v) = 'VARCHAR' AND json_type(CASE WHEN json_valid(n.v ->> '$') THEN n.v ->> '$' END) IN ('OBJECT', 'ARRAY', 'VARCHAR')) x),
+t AS (SELECT delta_id, payload, path, ords, v ->> '$' AS s FROM n WHERE json_type(v) = 'VARCHAR' AND path LIKE '%controllers%'),
+c AS (SELECT delta_id, payload, regexp_extract(path, '^(.*)\.(class|file)$', 1) AS path, ords, max(s) FILTER (path LIKE '%.class') AS class, max(s) FILTER (path LIKE '%.file') AS file
+      FROM t WHERE regexp_matches(path, '(^|\.)controllers(\.\[\])?\.(class|file)$') GROUP BY 1, 2, 3, 4),
+m AS (SELECT delta_id, payload, path, ords, max(name) AS name FROM (
+        SELECT delta_id, payload, path, ords, name FROM n WHERE name IS NOT NULL
+        UNION ALL SELECT delta_id, payload, regexp_extract(path, '^(.*)\.name$', 1), ords, s FROM t WHERE regexp_matches(path, '\.methods(\.\[\])?\.name$'))
+      WHERE regexp_matches(path, '(^|\.)controllers(\.\[\])?\.methods(\.\[\]|\.\{\})?$') GROUP BY 1, 2, 3, 4),
+i AS (SELECT *, regexp_extract(path, '^((?:.*\.)?controllers(?:\.\[\])?)\.', 1) AS c_path, regexp_extract(path, '^((?:.*\.)?controllers(?:\.\[\])?\.methods(?:\.\[\]|\.\{\})?)\.', 1) AS m_path,
+        regexp_extract(path, '^((?:.*\.)?controllers(?:\.\[\])?\.methods(?:\.\[\]|\.\{\})?\.(?:requestUsage|request_usage|scopesUsed|scopes_used|resourceUsage|resource_usage)(?:\.\[\])?)', 1) AS u_path
+      FROM t),
+k AS (SELECT *, ords[:len(regexp_extract_all(c_path, '\[\]|\{\}'))] AS c_ords, ords[:len(regexp_extract_all(m_path, '\[\]|\{\}'))] AS m_ords, ords[:len(regexp_extract_all(u_path, '\[\]|\{\}'))] AS u_ords,
+        CASE WHEN regexp_matches(u_path, '\.request_?[uU]sage(\.\[\])?$') THEN 'rule' WHEN regexp_matches(u_path, '\.scopes_?[uU]sed(\.\[\])?$') THEN 'scope' ELSE 'resource' END AS kind, path[len(u_path) + 1:] AS rest
+      FROM i WHERE u_path <> '')
+"""
+P4_FOUND_SQL = (
+    _NODES_SQL
+    + r"""SELECT k.delta_id, c.class AS controller, m.name AS method_name, k.kind, CASE WHEN len(u_ords) > len(m_ords) THEN u_ords[-1] ELSE 0 END AS usage_pos, CASE WHEN len(k.ords) > len(u_ords) THEN k.ords[-1] ELSE 0 END AS item_pos, s AS item
+FROM k LEFT JOIN c ON c.delta_id = k.delta_id AND c.payload = k.payload AND c.path = k.c_path AND c.ords = k.c_ords
+LEFT JOIN m ON m.delta_id = k.delta_id AND m.payload = k.payload AND m.path = k.m_path AND m.ords = k.m_ords
+WHERE (kind = 'rule' AND rest IN ('.rules', '.rules.[]')) OR (kind = 'scope' AND rest IN ('', '.name')) OR (kind = 'resource' AND rest = '.class')
+"""
+)
+P4_CONTROLLERS_SQL = _NODES_SQL + "SELECT delta_id, path, array_to_string(ords, '.') AS ordinals, class, file FROM c"
+P4_METHODS_SQL = (
+    _NODES_SQL
+    + r"""SELECT delta_id, path, array_to_string(ords, '.') AS ordinals, c_path AS controller_path, array_to_string(ords[:len(regexp_extract_all(c_path, '\[\]|\{\}'))], '.') AS controller_ordinals, name
+FROM (SELECT *, regexp_extract(path, '^((?:.*\.)?controllers(?:\.\[\])?)\.', 1) AS c_path FROM m)"""
+)
+P4_USAGES_SQL = (
+    _NODES_SQL
+    + r"""SELECT delta_id, u_path AS path, array_to_string(u_ords, '.') AS ordinals, m_path AS method_path, array_to_string(m_ords, '.') AS method_ordinals, kind,
+  CASE WHEN len(u_ords) > len(m_ords) THEN u_ords[-1] ELSE 0 END AS usage_pos, max(s) FILTER (rest = '.method') AS method, max(s) FILTER (rest = '.class') AS class,
+  coalesce(max(s) FILTER (rest = '.name'), max(s) FILTER (rest = '')) AS name, max(s) FILTER (rest = '.location') AS location, max(s) FILTER (rest = '.on') AS "on"
+FROM k WHERE rest IN ('.method', '.class', '.name', '', '.location', '.on') GROUP BY payload, delta_id, u_path, u_ords, m_path, m_ords, kind"""
+)
+P4_TRIPLES_SQL = r"""
+WITH RECURSIVE n AS (
+  SELECT delta_id, CAST(payload AS JSON) AS v, '' AS path FROM (SELECT DISTINCT delta_id, payload FROM analysis_deltas) WHERE json_valid(payload)
+  UNION ALL
+  SELECT n.delta_id, x.v, CASE WHEN x.step = '' THEN n.path WHEN n.path = '' THEN x.step ELSE n.path || '.' || x.step END FROM n, LATERAL (
+    SELECT CASE WHEN json_type(n.v) = 'ARRAY' THEN '[]' ELSE e.key END AS step, e.value AS v FROM json_each(n.v) e WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')
+    UNION ALL SELECT '', CAST(n.v ->> '$' AS JSON) WHERE json_type(n.v) = 'VARCHAR' AND json_type(CASE WHEN json_valid(n.v ->> '$') THEN n.v ->> '$' END) IN ('OBJECT', 'ARRAY')) x)
+SELECT path, count(*) AS leaves, count(DISTINCT delta_id) AS records FROM n
+WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'VARCHAR') OR CAST(v AS VARCHAR) IN ('{}', '[]')
+   OR (json_type(v) = 'VARCHAR' AND coalesce(json_type(CASE WHEN json_valid(v ->> '$') THEN v ->> '$' END), '') NOT IN ('OBJECT', 'ARRAY')) GROUP BY path
+"""

@@ -1,7 +1,7 @@
 import json
 
 from factmill.functions.jsonstream import NotJson, events, is_json, leaves
-from factmill.operators.flatten import pivot_group, triples, usages
+from factmill.operators.flatten import KEYED, controller_rows, item_rows, method_rows, parent, pivot_group, record_triples, triples, usage_rows, usage_triples, usages
 
 CAMEL = {
     "delta": {
@@ -83,10 +83,40 @@ def test_a_string_in_quotes_stays_a_string():
 
 
 def test_triples_and_pivot(spark, rows):
-    df = spark.createDataFrame([(1, '{"o": [{"id": "a", "n": [1, 2]}, {"id": "b"}]}'), (2, None), (3, "{")], "k long, t string")
+    df = spark.createDataFrame([(1, '{"o": [{"id": "a", "n": [1, 2]}, {"id": "b"}]}'), (1, '{"o": [{"id": "a", "n": [1, 2]}, {"id": "b"}]}'), (2, None), (3, "{")], "k long, t string")
     found = triples(df, "k", "t")
-    assert rows(pivot_group(found, "o.[]", {"id": "id"})) == [(1, [0], "a"), (1, [1], "b")]
-    assert rows(pivot_group(found, "o.[].n.[]", {"n": ""})) == [(1, [0, 0], "1"), (1, [0, 1], "2")]
+    top = pivot_group(found, r"o\.\[\]", {"id": "id"})
+    assert rows(top, "record_id", "ordinals", "id") == [(1, [0], "a"), (1, [1], "b")]
+    inner = parent(pivot_group(found, r"o\.\[\]\.n\.\[\]", {"n": ""}), r"o\.\[\]", "o")
+    assert rows(inner, "ordinals", "o_path", "o_ordinals", "n") == [([0, 0], "o.[]", [0], "1"), ([0, 1], "o.[]", [0], "2")]
+
+
+def test_record_triples():
+    got = record_triples('{"methods": {"a.b": {"x": [true, {}]}, "@key": 3}, "[]": null, "n": "{\\"methods\\": {\\"name\\": \\"m\\"}}", "d": 1, "d": 2}', KEYED)
+    want = [
+        ("methods.{}.@key", (0,), "a.b"), ("methods.{}.@key", (1,), "@key"), ("methods.{}.x.[]", (0, 0), True), ("methods.{}.x.[]", (0, 1), "{}"), ("methods.{}", (1,), 3),
+        ("\\[\\]", (), None), ("n.methods.name", (), "m"), ("d", (), 2),
+    ]
+    assert sorted(((p, o, getattr(v, "kind", v)) for p, o, v in got), key=str) == sorted(want, key=str)
+    assert record_triples("3") == [("", (), 3)] and record_triples(None) == [] and record_triples("{") == []
+
+
+def test_deep_records_give_triples():
+    n = 30_000
+    text = '{"a":' + "[" * n + '"x",1' + "]" * n + "}"
+    (path, at, v), (_, last, w) = sorted(record_triples(text), key=lambda r: r[1])
+    assert path == "a" + ".[]" * n and at == (0,) * n and v == "x" and last == (0,) * (n - 1) + (1,) and w == 1
+    assert record_triples(text[:-1]) == []
+
+
+def test_tables(spark, rows):
+    found = usage_triples(spark.createDataFrame([(1, json.dumps(CAMEL)), (1, json.dumps(CAMEL))], "delta_id long, payload string"))
+    assert rows(controller_rows(found), "ordinals", "class") == sorted([([0, 0], "A"), ([0], "B")], key=str)
+    assert rows(method_rows(found), "controller_ordinals", "name") == sorted([([0, 0], "index"), ([0, 0], "show"), ([0], "destroy")], key=str)
+    assert rows(usage_rows(found), "kind", "usage_pos", "method", "class", "name") == sorted(
+        [("rule", 0, "only", None, None), ("scope", 0, None, None, "s"), ("scope", 1, None, None, "t"), ("resource", 0, None, "R", None), ("resource", 1, None, "Q", None)], key=str
+    )
+    assert item_rows(found).count() == len(EXPECTED)
 
 
 def test_half_surrogates_do_not_break_tables(spark, rows):
