@@ -36,13 +36,15 @@ def _text(v: object) -> str | None:
     return v.kind if isinstance(v, Empty) else repr(v) if isinstance(v, float) else str(v)
 
 
-def record_triples(text: str | None, keyed: dict[str, frozenset[str]] | None = None) -> list[tuple[str, tuple, object]]:
+def record_triples(text: str | None, keyed: dict[str, tuple[str, frozenset[str]]] | None = None) -> list[tuple[str, tuple, object]]:
     """(path, ordinals, value) of every leaf of a record.
 
     A path is its keys joined by dots, ``[]`` for the members of an array; their
-    places are the ordinals. ``keyed`` names keys whose object is keyed by name
-    unless it holds one of the given keys itself: its members are ``{}``, places
-    count as in an array, and the name is the leaf ``@key`` of each.
+    places are the ordinals. ``keyed`` maps keys to the key that names a member
+    and those that tell one. An object under such a key that holds none of these
+    is keyed by name: its members are ``{}``, places count as in an array. Each
+    member, of an array or alone too, has its name as the leaf ``@key``, null if
+    it has none.
     """
     out: list[tuple[str, tuple, object]] = []
     found, root = tree(text) if text is not None else (False, None)
@@ -51,7 +53,7 @@ def record_triples(text: str | None, keyed: dict[str, frozenset[str]] | None = N
     # A node is [node above, step, ordinal, path, ordinals]; the latter two are filled in where a leaf hangs on it.
     if type(root) is not dict and type(root) is not list:
         return [("", (), root)]
-    todo: list[tuple[list, object, frozenset | None]] = [([None, "", None, "", ()], root, None)]
+    todo: list[tuple[list, object, tuple | None]] = [([None, "", None, "", ()], root, None)]
     while todo:
         node, v, marks = todo.pop()
         if not v:
@@ -60,13 +62,16 @@ def record_triples(text: str | None, keyed: dict[str, frozenset[str]] | None = N
             lead = None
             for i, x in enumerate(v):
                 if type(x) is dict or type(x) is list:
-                    todo.append(([node, "[]", i, None, None], x, None))
+                    below = [node, "[]", i, None, None]
+                    todo.append((below, x, None))
+                    if marks is not None and type(x) is dict:
+                        out.append(_named(below, x.get(marks[0])))
                 else:
                     if lead is None:
                         path, at = _place_of(node)
                         lead = path + ".[]" if path else "[]"
                     out.append((lead, (*at, i), x))
-        elif marks is not None and not any(k in marks for k in v):
+        elif marks is not None and not any(k in marks[1] for k in v):
             path, at = _place_of(node)
             lead = path + ".{}" if path else "{}"
             for i, (k, x) in enumerate(v.items()):
@@ -76,6 +81,8 @@ def record_triples(text: str | None, keyed: dict[str, frozenset[str]] | None = N
                 else:
                     out.append((lead, (*at, i), x))
         else:
+            if marks is not None:
+                out.append(_named(node, v.get(marks[0])))
             lead = None
             for k, x in v.items():
                 if type(x) is dict or type(x) is list:
@@ -88,6 +95,11 @@ def record_triples(text: str | None, keyed: dict[str, frozenset[str]] | None = N
     return out
 
 
+def _named(node: list, name: object) -> tuple[str, tuple, object]:
+    path, at = _place_of(node)
+    return path + ".@key", at, name if type(name) is str else None
+
+
 def _place_of(node: list) -> tuple[str, tuple]:
     """(path, ordinals) of a node, put together from the nodes above it only now."""
     if node[3] is None:
@@ -101,16 +113,16 @@ def _place_of(node: list) -> tuple[str, tuple]:
     return node[3], node[4]
 
 
-def triples(records: DataFrame, id_column: str, text_column: str, keyed: dict[str, Iterable[str]] | None = None) -> DataFrame:
+def triples(records: DataFrame, id_column: str, text_column: str, keyed: dict[str, tuple[str, Iterable[str]]] | None = None) -> DataFrame:
     """(record_id, version, path, ordinals, value, is_text) of every leaf of every record, see ``record_triples``.
 
     Values are JSON texts without quotes; ``is_text`` tells strings from others.
     A string that itself holds an object or array is read in its place. The
-    version is a hash of the text: texts that share an id stay apart, and repeats
-    of a row give equal triples, which fall together when groups are pivoted.
-    Null texts and texts that aren't whole JSON give no triples.
+    version is a hash of the text: texts that share an id stay apart; rows that
+    repeat count once. Null texts, texts that aren't whole JSON and records
+    without id give no triples.
     """
-    marks = {k: frozenset(v) for k, v in (keyed or {}).items()}
+    marks = {k: (name, frozenset(v)) for k, (name, v) in (keyed or {}).items()}
 
     def run(batches):
         for batch in batches:
@@ -136,8 +148,10 @@ def triples(records: DataFrame, id_column: str, text_column: str, keyed: dict[st
                 names=[c.split()[0] for c in TRIPLES.split(", ")],
             )
 
-    rows = records.select(F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text_column).alias("version"), F.col(text_column).alias("text"))
-    return rows.where("text is not null").mapInArrow(run, TRIPLES)
+    # Repeats fall together by a hash of the text; the text itself is not a sort key.
+    rows = records.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).where("id is not null and text is not null")
+    once = rows.groupBy("id", F.xxhash64("text").alias("version"), F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"))
+    return once.select("id", "version", "text").mapInArrow(run, TRIPLES)
 
 
 def places(path: Column) -> Column:
@@ -145,36 +159,44 @@ def places(path: Column) -> Column:
     return F.size(F.split(path, r"\[\]|\{\}")) - 1
 
 
-def pivot_group(found: DataFrame, ancestor: str, columns: dict[str, str | Sequence[str]]) -> DataFrame:
+def path_table(found: DataFrame) -> DataFrame:
+    """(path): the distinct paths, written once. Patterns run over these; Spark broadcasts them where they are few."""
+    return materialize(found.select("path").distinct(), "paths")
+
+
+def pivot_group(found: DataFrame, ancestor: str, columns: dict[str, str | Sequence[str]], above: dict[str, str] | None = None, paths: DataFrame | None = None) -> DataFrame:
     """One flat table: the leaves below a repeated ancestor, one row per record, ancestor and place.
 
     ``ancestor`` is a regular expression of the ancestors' paths, ``columns`` maps
     column names to the member's path below them or to several ones, the first
     that is there holding; of an empty path the value is the ancestor itself.
-    ``LINK`` names a row; ``parent`` gives that of the row above. Rows
-    that repeat fall together.
+    ``LINK`` names a row; for every name in ``above``, a pattern of the paths of a
+    table above, ``<name>_path`` and ``<name>_ordinals`` name the row there.
+    ``paths`` is the ``path_table``, if it is at hand.
     """
     names = {c: [p] if isinstance(p, str) else list(p) for c, p in columns.items()}
     members = sorted({re.escape(p) for ps in names.values() for p in ps if p}, key=len, reverse=True)
     bare = any(p == "" for ps in names.values() for p in ps)
     tail = (r"(?:\.(" + "|".join(members) + "))" if members else "()") + ("?" if bare else "")
     whole = rf"^({ancestor}){tail}$"
-    last = re.compile(whole).groups
-    rows = found.where(F.col("path").rlike(whole)).select("record_id", "version", F.regexp_extract("path", whole, 1).alias("path"), F.regexp_extract("path", whole, last).alias("__m"), "ordinals", "value")
-    rows = rows.withColumn("ordinals", F.slice("ordinals", 1, places(F.col("path"))))
+    above = above or {}
+    shapes = (path_table(found) if paths is None else paths).where(F.col("path").rlike(whole))
+    shapes = shapes.select("path", F.regexp_extract("path", whole, 1).alias("__a"), F.regexp_extract("path", whole, re.compile(whole).groups).alias("__m"))
+    up = {n: F.regexp_extract("__a", rf"^({p})(?:\.|$)", 1) for n, p in above.items()}
+    shapes = shapes.withColumns({f"{n}_path": c for n, c in up.items()}).withColumns({"__n": places(F.col("__a"))} | {f"__n_{n}": places(F.col(f"{n}_path")) for n in above})
+    rows = found.join(shapes, "path")
+    link = {"path": F.col("__a"), "ordinals": F.slice("ordinals", 1, F.col("__n"))}
+    up_links = [c for n in above for c in (F.col(f"{n}_path"), F.slice("ordinals", 1, F.col(f"__n_{n}")).alias(f"{n}_ordinals"))]
+    rows = rows.select("record_id", "version", *[c.alias(n) for n, c in link.items()], *up_links, "__m", "value")
+    if [len(ps) for ps in names.values()] == [1]:  # every leaf is a row already
+        return rows.drop("__m").withColumnRenamed("value", next(iter(names)))
     value = [F.coalesce(*[F.max(F.when(F.col("__m") == p, F.col("value"))) for p in ps]).alias(c) for c, ps in names.items()]
-    return rows.groupBy(*LINK).agg(*value)
-
-
-def parent(rows: DataFrame, ancestor: str, name: str) -> DataFrame:
-    """``rows`` with ``<name>_path`` and ``<name>_ordinals``: the ``LINK`` of the row above, ``ancestor`` being its path."""
-    up = F.regexp_extract("path", rf"^({ancestor})(?:\.|$)", 1)
-    return rows.withColumn(f"{name}_path", up).withColumn(f"{name}_ordinals", F.slice("ordinals", 1, places(F.col(f"{name}_path"))))
+    return rows.groupBy(*[c for c in rows.columns if c not in ("__m", "value")]).agg(*value)
 
 
 # Keys of the usage lists of a method, by kind.
 REQUEST, SCOPE, RESOURCE = ("requestUsage", "request_usage"), ("scopesUsed", "scopes_used"), ("resourceUsage", "resource_usage")
-KEYED = {"methods": frozenset((*REQUEST, *SCOPE, *RESOURCE, "name"))}
+KEYED = {"methods": ("name", frozenset((*REQUEST, *SCOPE, *RESOURCE, "name")))}
 _ONE = "|".join
 # The last `controllers` above a method is its controller's; lists may stand alone as one member.
 CONTROLLER = r"(?:.*\.)?controllers(?:\.\[\])?"
@@ -184,38 +206,43 @@ ITEM = METHOD + rf"\.(?:(?:{_ONE(REQUEST)})(?:\.\[\])?\.rules(?:\.\[\])?|(?:{_ON
 
 
 def _kind(path: str) -> Column:
-    key = F.regexp_extract(path, rf"^{METHOD}\.({_ONE((*REQUEST, *SCOPE, *RESOURCE))})", 1)
-    return F.when(key.isin(*REQUEST), "rule").when(key.isin(*SCOPE), "scope").otherwise("resource")
+    """By the list's key, which ends a usage's path."""
+    key = F.regexp_replace(path, r"\.\[\]$", "")
+    ends = lambda names: F.substring_index(key, ".", -1).isin(*names)
+    return F.when(ends(REQUEST), "rule").when(ends(SCOPE), "scope").otherwise("resource")
+
+
+def _last(down: str, up: str) -> Column:
+    """The last ordinal of a place that has one more than the place above it, else 0."""
+    return F.when(F.size(down) > F.size(up), F.element_at(down, -1)).otherwise(0).cast("bigint")
 
 
 def usage_triples(deltas: DataFrame, id_column: str = "delta_id", text_column: str = "payload") -> DataFrame:
-    """The texts among the triples that speak of controllers, methods, usages and their items, written once."""
-    found = triples(deltas.where(F.col(id_column).isNotNull()), id_column, text_column, KEYED).where("is_text")
-    return materialize(found.where(F.contains("path", F.lit("controllers"))), "usage_triples")
+    """The texts, and members' names, among the triples that speak of controllers; written once."""
+    found = triples(deltas, id_column, text_column, KEYED).where(F.contains("path", F.lit("controllers")))
+    return materialize(found.where(F.col("is_text") | F.endswith("path", F.lit(".@key"))), "usage_triples")
 
 
-def controller_rows(found: DataFrame) -> DataFrame:
+def controller_rows(found: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(LINK, class, file)."""
-    return pivot_group(found, CONTROLLER, {"class": "class", "file": "file"})
+    return pivot_group(found, CONTROLLER, {"class": "class", "file": "file"}, paths=paths)
 
 
-def method_rows(found: DataFrame) -> DataFrame:
-    """(LINK, controller_path, controller_ordinals, name): keyed methods are named by their key."""
-    return parent(pivot_group(found, METHOD, {"name": ("@key", "name")}), CONTROLLER, "controller")
+def method_rows(found: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(LINK, controller_path, controller_ordinals, name): every method, named by its key or its name."""
+    return pivot_group(found, METHOD, {"name": "@key"}, {"controller": CONTROLLER}, paths)
 
 
-def usage_rows(found: DataFrame) -> DataFrame:
+def usage_rows(found: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """(LINK, method_path, method_ordinals, kind, usage_pos, method, class, name, location, on): usages that have any text of these."""
-    rows = pivot_group(found, USAGE, {"method": "method", "class": "class", "name": ("name", ""), "location": "location", "on": "on"})
-    rows = parent(rows, METHOD, "method").withColumn("kind", _kind("path"))
-    return rows.withColumn("usage_pos", F.coalesce(F.get("ordinals", F.size("method_ordinals")), F.lit(0)).cast("bigint"))
+    rows = pivot_group(found, USAGE, {"method": "method", "class": "class", "name": ("name", ""), "location": "location", "on": "on"}, {"method": METHOD}, paths)
+    return rows.withColumn("kind", _kind("path")).withColumn("usage_pos", _last("ordinals", "method_ordinals"))
 
 
-def item_rows(found: DataFrame) -> DataFrame:
-    """(LINK, method_path, method_ordinals, kind, usage_pos, item_pos, item): rules, scope names and resource classes."""
-    rows = parent(parent(pivot_group(found, ITEM, {"item": ""}), METHOD, "method"), USAGE, "usage").withColumn("kind", _kind("path"))
-    at = lambda up, down: F.when(F.size(down) > F.size(up), F.element_at(down, -1)).otherwise(0).cast("bigint")
-    return rows.withColumn("usage_pos", at(F.col("method_ordinals"), F.col("usage_ordinals"))).withColumn("item_pos", at(F.col("usage_ordinals"), F.col("ordinals")))
+def item_rows(found: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """(LINK, usage link, method link, kind, usage_pos, item_pos, item): rules, scope names and resource classes."""
+    rows = pivot_group(found, ITEM, {"item": ""}, {"usage": USAGE, "method": METHOD}, paths).withColumn("kind", _kind("usage_path"))
+    return rows.withColumn("usage_pos", _last("usage_ordinals", "method_ordinals")).withColumn("item_pos", _last("ordinals", "usage_ordinals"))
 
 
 def _linked(rows: DataFrame, above: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:
@@ -234,9 +261,10 @@ def usages(deltas: DataFrame, id_column: str = "delta_id", text_column: str = "p
     a controller without class or a method without name gives a null there.
     """
     found = usage_triples(deltas, id_column, text_column)
-    # A method without a text of its own has no row, so the controller is linked to the item itself.
-    items = _linked(item_rows(found), method_rows(found), "method", {"name": "method_name"})
-    items = _linked(parent(items, CONTROLLER, "controller"), controller_rows(found), "controller", {"class": "controller"})
+    paths = path_table(found)
+    classes = pivot_group(found, CONTROLLER, {"class": "class"}, paths=paths)
+    methods = _linked(method_rows(found, paths), classes, "controller", {"class": "controller"})
+    items = _linked(item_rows(found, paths), methods, "method", {"name": "method_name", "controller": "controller"})
     return items.select(F.col("record_id").alias("delta_id"), "controller", "method_name", "kind", "usage_pos", "item_pos", "item")
 
 
@@ -246,7 +274,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, leaves, records): how often each leaf path occurs, over all payloads that are whole JSON."""
-    found = triples(table(spark, sf_dir, "analysis_deltas").select("delta_id", "payload").distinct(), "delta_id", "payload")
+    found = triples(table(spark, sf_dir, "analysis_deltas"), "delta_id", "payload")
     return found.groupBy("path").agg(F.count("*").alias("leaves"), F.count_distinct("record_id").alias("records"))
 
 

@@ -1,7 +1,7 @@
 import json
 
 from factmill.functions.jsonstream import NotJson, events, is_json, leaves
-from factmill.operators.flatten import KEYED, controller_rows, item_rows, method_rows, parent, pivot_group, record_triples, triples, usage_rows, usage_triples, usages
+from factmill.operators.flatten import KEYED, controller_rows, item_rows, method_rows, pivot_group, record_triples, triples, usage_rows, usage_triples, usages
 
 CAMEL = {
     "delta": {
@@ -87,7 +87,7 @@ def test_triples_and_pivot(spark, rows):
     found = triples(df, "k", "t")
     top = pivot_group(found, r"o\.\[\]", {"id": "id"})
     assert rows(top, "record_id", "ordinals", "id") == [(1, [0], "a"), (1, [1], "b")]
-    inner = parent(pivot_group(found, r"o\.\[\]\.n\.\[\]", {"n": ""}), r"o\.\[\]", "o")
+    inner = pivot_group(found, r"o\.\[\]\.n\.\[\]", {"n": ""}, {"o": r"o\.\[\]"})
     assert rows(inner, "ordinals", "o_path", "o_ordinals", "n") == [([0, 0], "o.[]", [0], "1"), ([0, 1], "o.[]", [0], "2")]
 
 
@@ -95,7 +95,7 @@ def test_record_triples():
     got = record_triples('{"methods": {"a.b": {"x": [true, {}]}, "@key": 3}, "[]": null, "n": "{\\"methods\\": {\\"name\\": \\"m\\"}}", "d": 1, "d": 2}', KEYED)
     want = [
         ("methods.{}.@key", (0,), "a.b"), ("methods.{}.@key", (1,), "@key"), ("methods.{}.x.[]", (0, 0), True), ("methods.{}.x.[]", (0, 1), "{}"), ("methods.{}", (1,), 3),
-        ("\\[\\]", (), None), ("n.methods.name", (), "m"), ("d", (), 2),
+        ("\\[\\]", (), None), ("n.methods.name", (), "m"), ("n.methods.@key", (), "m"), ("d", (), 2),
     ]
     assert sorted(((p, o, getattr(v, "kind", v)) for p, o, v in got), key=str) == sorted(want, key=str)
     assert record_triples("3") == [("", (), 3)] and record_triples(None) == [] and record_triples("{") == []
