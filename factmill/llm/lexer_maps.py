@@ -2,33 +2,39 @@
 
 A chunk maps every state a lexer may be in at its start to the state at its end,
 with the brackets it leaves open and those it closes from before. Two chunks
-combine to one map; combining is associative, so a file's chunks are reduced in
-a tree. From the reduced prefixes each chunk's true start state and depth follow,
-and the file falls into groups of balanced top-level statements.
+combine to one map; combining is associative, so chunks are reduced in any
+grouping. From the reduced prefixes each chunk's true start state and depth
+follow, and the file falls into groups of balanced statements.
 
 Chunks end at line ends, where no token but a string, comment, template or
 heredoc can be cut. The maps are coarse where a language nests code in strings:
-they place cuts and never decide by themselves that a file is bad.
+they place cuts and never decide by themselves that a file is bad. The first
+chunk of a file can start in one state only, so its map has that one.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 2_048
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
 
 @dataclass(frozen=True)
 class Run:
-    """What a chunk does from one start state: end state, brackets closed from before and left open, broken if they mismatch."""
+    """What a chunk does from one start state: end state, brackets closed from before and left open, broken if they mismatch.
+
+    ``root`` is the first bracket that it opens.
+    """
 
     end: str
     closes: tuple = ()
     opens: tuple = ()
     broken: bool = False
+    root: str | None = None
 
     def then(self, other: Run) -> Run:
         opens, closes = list(self.opens), list(self.closes)
@@ -37,23 +43,35 @@ class Run:
             if not opens:
                 closes.extend(other.closes[k:])
                 break
-            broken = opens.pop() != _PAIR[c] or broken
-        return Run(other.end, tuple(closes), (*opens, *other.opens), broken)
+            broken = opens.pop() != _PAIR.get(c, c) or broken
+        return Run(other.end, tuple(closes), (*opens, *other.opens), broken, other.root if self.root is None else self.root)
+
+    @staticmethod
+    def read(v: list) -> Run:
+        return Run(v[0], tuple(v[1]), tuple(v[2]), v[3], v[4])
+
+    def plain(self) -> list:
+        return [self.end, self.closes, self.opens, self.broken, self.root]
 
 
 class Language:
-    """A flat lexer: of each state the regex of what matters in it."""
+    """A flat lexer: of each state the regex of what matters in it.
+
+    ``cut`` tells in code where a group of statements may end, at bracket depth
+    ``level``; ``veto`` takes back cuts by the text before them. Groups are not
+    made shorter than ``spacing`` on purpose.
+    """
 
-    def __init__(self, start: str, finals: set[str], states: dict[str, str], declares: str):
-        self.start, self.finals = start, finals
+    def __init__(self, start: str, finals: set[str], states: dict[str, str], cut: str, level: int = 0, spacing: int = 0, veto: Callable[[str, int], bool] | None = None):
+        self.start, self.finals, self.level, self.spacing, self.veto = start, finals, level, spacing, veto
         self.states = {s: re.compile(r, re.S | re.I | re.M) for s, r in states.items()}
-        self.cut = re.compile(rf"(?m)(?<=[;}}])[ \t]*(?:\r\n|\n|\r)\s*(?=(?:{declares})\b)") if declares else None
+        self.cut = re.compile(cut)
 
-    def scan(self, text: str, state: str, on_code=None) -> Run:
-        """Run over a chunk; ``on_code(from, to, depth)`` is told of the stretches of code at each bracket depth."""
+    def scan(self, text: str, state: str, cuts: list[tuple[int, int]] | None = None) -> Run:
+        """Run over a chunk; places and depths, relative to the start, where code may be cut are added to ``cuts``."""
         opens: list[str] = []
         closes: list[str] = []
-        broken, pos, n, depth = False, 0, len(text), 0
+        broken, pos, n, depth, root = False, 0, len(text), 0, None
         while True:
             if state.startswith("here:"):
                 m = re.compile(rf"^[ \t]*{re.escape(state[5:])}(?![A-Za-z0-9_\x80-\U0010ffff])", re.M).search(text, pos)
@@ -62,28 +80,38 @@ class Language:
                 state, pos = "code", m.end()
                 continue
             m = self.states[state].search(text, pos)
-            if on_code and state == "code":
-                on_code(pos, m.start() if m else n, depth)
+            if cuts is not None and state == "code":
+                for c in self.cut.finditer(text, pos, m.start() if m else n):
+                    if c.end() < n and not (self.veto and self.veto(text, c.start())):
+                        cuts.append((c.end(), depth))
             if m is None:
                 break
             kind, pos = m.lastgroup, m.end()
             if kind == "open":
-                opens.append(m.group())
+                opens.append(m.group("open"))
+                root = opens[-1] if root is None else root
                 depth += 1
             elif kind == "close":
                 depth -= 1
+                c = m.group("close")
                 if opens:
-                    broken = opens.pop() != _PAIR[m.group()] or broken
+                    broken = opens.pop() != _PAIR.get(c, c) or broken
                 else:
-                    closes.append(m.group())
+                    closes.append(c)
             elif kind == "here":
                 state = "here:" + m.group("here").strip("\"'")
             elif kind is not None:
                 state = kind[3:]
-        return Run(state, tuple(closes), tuple(opens), broken)
+        return Run(state, tuple(closes), tuple(opens), broken, root)
 
 
 _STRINGS = r"'(?:[^'\\\r\n]|\\.)*+'|\"(?:[^\"\\\r\n]|\\.)*+\""
+
+
+def _behind(declares: str) -> str:
+    return rf"(?m)(?<=[;}}])[ \t]*(?:\r\n|\n|\r)\s*(?=(?:{declares})\b)"
+
+
 PHP = Language(
     "html",
     {"html", "code"},
@@ -94,7 +122,7 @@ PHP = Language(
         "sq": r"\\.|(?P<to_code>')",
         "dq": r"\\.|\{\$[^{}]*+\}|(?P<to_code>\")",
     },
-    "abstract|final|class|interface|trait|enum|function|use",
+    _behind("abstract|final|class|interface|trait|enum|function|use"),
 )
 JS = Language(
     "code",
@@ -104,10 +132,48 @@ JS = Language(
         "bc": r"(?P<to_code>\*/)",
         "tpl": r"\\.|(?P<to_code>`)",
     },
-    "class|function|async function|const|let|var",
+    _behind("class|function|async function|const|let|var"),
+)
+JSON = Language("code", {"code"}, {"code": r'"(?:[^"\\\r\n]|\\.)*+"|(?P<open>[\[{])|(?P<close>[\]}])'}, r",\s*", level=1, spacing=512)
+_NAME = r"[^\s<>/!?=\"'&;]++"
+_ATTRIBUTES = r"(?:[^<>\"'/]|\"[^\"]*+\"|'[^']*+'|/(?!>))*+"
+XML = Language(
+    "code",
+    {"code"},
+    {
+        # what is torn at a chunk's end is no final state: such files are read as a whole
+        "code": rf"(?P<to_comment><!--)|(?P<to_cdata><!\[CDATA\[)|(?P<to_pi><\?)|<!DOCTYPE[^\[>]*+>|(?P<to_doctype><!DOCTYPE)|</(?P<close>{_NAME})\s*+>|<{_NAME}(?:\s{_ATTRIBUTES})?/>|<(?P<open>{_NAME})(?:\s{_ATTRIBUTES})?>|(?P<to_torn><)",
+        "comment": r"(?P<to_code>-->)",
+        "cdata": r"(?P<to_code>\]\]>)",
+        "pi": r"(?P<to_code>\?>)",
+        "doctype": r"(?P<to_code>\]\s*>)",
+        "torn": r"(?!)",
+    },
+    r"(?<=>)\s*[\r\n]\s*",
+    level=1,
+    spacing=512,
+)
+
+
+def _decorated(text: str, at: int) -> bool:
+    """Whether the line that ends here is a decorator, which belongs to what follows."""
+    return text[max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1 :][:1] == "@"
+
+
+PYTHON = Language(
+    "code",
+    {"code"},
+    {
+        "code": r"\#[^\r\n]*+|(?P<to_tdq>\"\"\")|(?P<to_tsq>''')|'(?:[^'\\\r\n]|\\.)*+'|\"(?:[^\"\\\r\n]|\\.)*+\"|(?P<to_torn>['\"])|(?P<open>[(\[{])|(?P<close>[)\]}])",
+        "tdq": r"\\.|(?P<to_code>\"\"\")",
+        "tsq": r"\\.|(?P<to_code>''')",
+        "torn": r"(?!)",
+    },
+    r"(?<!\\)(?:\r\n|\n|\r)(?=(?!(?:else|elif|except|finally)\b)[A-Za-z_@])",
+    spacing=512,
+    veto=_decorated,
 )
-_LABEL = re.compile(r"<<<[ \t]*[\"']?([^\W\d]\w*)")
-JSON = Language("code", {"code"}, {"code": r'"(?:[^"\\\r\n]|\\.)*+"|(?P<open>[\[{])|(?P<close>[\]}])'}, "")
+_LABEL = re.compile(r"<<<[ \t]*[\"']?(\w+)")
 
 
 def chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
@@ -127,75 +193,48 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
     return out
 
 
-def state_map(language: Language, chunk: str, states: list[str]) -> dict[str, Run]:
-    """The chunk's map: a run for every state it may start in."""
-    return {s: language.scan(chunk, s) for s in states}
-
+def states_of(language: Language, text: str) -> list[str]:
+    """All states of a text, heredocs being one per label that it may open."""
+    return [*language.states, *(["here:" + x for x in sorted(set(_LABEL.findall(text)))] if language is PHP else [])]
 
-def combine(a: dict[str, Run], b: dict[str, Run]) -> dict[str, Run]:
-    """The map of two adjacent chunks; associative."""
-    return {s: r.then(b[r.end]) for s, r in a.items()}
 
-
-def _maps(language: Language, parts: list[str]) -> tuple[list[str], list[dict[str, Run]]]:
-    """All states of a text, heredocs being one per label that any chunk may open, and every chunk's map."""
-    states = list(language.states)
-    if language is PHP:
-        states += ["here:" + x for x in sorted({x for p in parts for x in _LABEL.findall(p)})]
-    return states, [state_map(language, p, states) for p in parts]
+def state_map(language: Language, chunk: str, states: list[str]) -> dict[str, tuple[Run, list[tuple[int, int]]]]:
+    """The chunk's map: for every state it may start in a run, and where it may be cut."""
+    out = {}
+    for s in states:
+        cuts: list[tuple[int, int]] = []
+        out[s] = language.scan(chunk, s, cuts), cuts
+    return out
 
 
-def prefixes(language: Language, parts: list[str]) -> list[Run]:
-    """The run over all chunks before each chunk, and last the one over the whole text."""
-    first = Run(language.start)
-    if len(parts) == 1:
-        return [first, first.then(language.scan(parts[0], language.start))]
-    states, maps = _maps(language, parts)
-    out = [{s: Run(s) for s in states}]
-    for m in maps:
-        out.append(combine(out[-1], m))
-    return [m[language.start] for m in out]
+def text_maps(language: Language, text: str, size: int = CHUNK_CHARS) -> list[tuple[str, dict]]:
+    """(chunk, map) of all chunks of a text."""
+    parts = chunks(text, size)
+    states = states_of(language, text) if len(parts) > 1 else []
+    return [(p, state_map(language, p, states if i else [language.start])) for i, p in enumerate(parts)]
 
 
-def whole(language: Language, parts: list[str]) -> Run:
-    """The run over all chunks, reduced in a tree."""
-    _, maps = _maps(language, parts)
-    while len(maps) > 1:
-        maps = [reduce(combine, maps[k : k + 2]) for k in range(0, len(maps), 2)]
-    return maps[0][language.start]
+def combine(a: dict[str, Run], b: dict[str, Run]) -> dict[str, Run]:
+    """The map of two adjacent chunks; associative."""
+    return {s: r.then(b[r.end]) for s, r in a.items()}
 
 
 def closed(language: Language, run: Run) -> bool:
     return run.end in language.finals and not run.broken and not run.opens and not run.closes
 
 
-def statement_groups(language: Language, text: str, size: int = CHUNK_CHARS) -> list[tuple[int, int, str]] | None:
-    """(from, to, start state) of groups of balanced top-level statements; None if the text isn't closed.
+def effective(language: Language, before: Run, cuts: list[tuple[int, int]]) -> list[int]:
+    """Those of a chunk's cuts that lie at the language's level, ``spacing`` apart."""
+    out: list[int] = []
+    for at, depth in cuts:
+        if depth + len(before.opens) == language.level and at and (not out or at - out[-1] >= language.spacing):
+            out.append(at)
+    return out
+
 
-    A cut lies at depth 0 in code, behind ``;`` or ``}`` and before a line that
-    begins with a declaring word.
-    """
-    parts = chunks(text, size)
-    cuts: list[int] = []
-
-    def cut_at(at: int, level: int):
-        def on_code(a: int, b: int, depth: int) -> None:
-            if level + depth == 0:
-                # the character before is seen too, so that a closing brace is
-                cuts.extend(m.end() for m in language.cut.finditer(text, at + a, at + b) if m.end() > at)
-
-        return on_code if language.cut else None
-
-    if len(parts) == 1:  # its one start state is known, and one scan does both
-        if not closed(language, language.scan(text, language.start, cut_at(0, 0))):
-            return None
-    else:
-        before, at = prefixes(language, parts), 0
-        if not closed(language, before[-1]):
-            return None
-        for part, run in zip(parts, before):
-            if language.cut:
-                language.scan(part, run.end, cut_at(at, len(run.opens)))
-            at += len(part)
-    bounds = [0, *sorted(set(cuts)), len(text)]
-    return [(a, b, "code" if a else language.start) for a, b in zip(bounds, bounds[1:]) if a < b]
+def dump(m: dict) -> str:
+    return json.dumps({s: [r.plain(), c] for s, (r, c) in m.items()}, separators=(",", ":"))
+
+
+def load(text: str) -> dict[str, tuple[Run, list]]:
+    return {s: (Run.read(r), c) for s, (r, c) in json.loads(text).items()}

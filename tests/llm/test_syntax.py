@@ -1,7 +1,7 @@
 import pytest
 
 from factmill.llm import lexer_maps as M
-from factmill.llm.syntax import checked_files, parses
+from factmill.llm.syntax import _MAPS, checked_files, parses, piece_parses
 
 VALID = {
     "php": [
@@ -69,28 +69,65 @@ def test_deep_nesting_is_no_crash():
 PHP_FILE = VALID["php"][5] + "class A { function f() { return [1, (2)]; } }\nfunction g() { /* } */ }\n$z = 'x\ny';\nclass B {}\n"
 
 
+LONG = {
+    "php": PHP_FILE,
+    "js": "const a = `x\n${'y'}\n`;\n/* {\n*/ function f() {\n  return [1, (2)];\n}\nclass A {\n}\n",
+    "json": '{\n"a": [\n1,\n{}],\n"b": "x, y",\n"c": [[\n]]\n}',
+    "xml": "<?xml version='1.0'?>\n<!DOCTYPE a>\n<a x='>'>\n<b>1\n</b>\n<!-- </a>\n-->\n<c d='2'/>\n<![CDATA[\n<e>]]>\n<f><g/>\n</f>\n</a>\n",
+}
+LONG["py"] = 'import os\nx = """\'\n("""\ndef f(\n  a):\n  return "("\nX = 1\n@deco\ndef g(): pass\nif X:\n  pass\nelse:\n  X = [\n1]\ny = 2\n'
+
+
+def _runs(maps):
+    return [{s: r for s, (r, _) in m.items()} for _, m in maps]
+
+
 @pytest.mark.parametrize("size", [5, 17, 60, 10_000])
-def test_maps_combine_to_the_scan_of_the_whole(size):
-    for language, text in ((M.PHP, PHP_FILE), (M.JS, "const a = `x\n${'y'}\n`;\n/* {\n*/ function f() {\n  return [1, (2)];\n}\nclass A {\n}\n"), (M.JSON, '{\n"a": [\n1,\n{}]\n}')):
-        parts = M.chunks(text, size)
-        assert "".join(parts) == text
-        run = M.prefixes(language, [text])[-1]
-        assert M.whole(language, parts) == M.prefixes(language, parts)[-1] == run
-        assert M.closed(language, run)
+@pytest.mark.parametrize("name", LONG)
+def test_maps_combine_to_the_scan_of_the_whole(name, size):
+    language, text = _MAPS[name], LONG[name]
+    assert parses(name, text)
+    maps = M.text_maps(language, text, size)
+    assert "".join(p for p, _ in maps) == text
+    first, *rest = _runs(maps)
+    total = first
+    for m in rest:
+        total = M.combine(total, m)
+    whole = language.scan(text, language.start)
+    # a tag that a chunk's end tears is no bracket: such files are read as a whole
+    assert total[language.start] == whole or name == "xml"
+    assert M.closed(language, whole)
 
 
 def test_combining_is_associative():
-    parts = M.chunks(PHP_FILE, 20)
-    _, maps = M._maps(M.PHP, parts)
+    maps = _runs(M.text_maps(M.PHP, PHP_FILE, 20))
     a, b, c = maps[0], M.combine(maps[1], maps[2]), maps[3]
-    assert M.combine(M.combine(a, b), c) == M.combine(a, M.combine(b, c))
+    assert M.combine(M.combine(a, b), c) == M.combine(a, M.combine(b, c)) == M.combine(M.combine(M.combine(a, maps[1]), maps[2]), c)
+    assert M.load(M.dump(M.text_maps(M.PHP, PHP_FILE, 20)[1][1])).keys() == maps[1].keys()
 
 
-def test_groups_are_balanced_statements():
-    groups = M.statement_groups(M.PHP, PHP_FILE, 40)
-    assert len(groups) > 2 and groups[0][0] == 0 and groups[-1][1] == len(PHP_FILE)
-    assert all(a[1] == b[0] for a, b in zip(groups, groups[1:]))
-    assert M.statement_groups(M.PHP, PHP_FILE + "{") is None
+def _groups(name, text):
+    language, cuts = _MAPS[name], []
+    run = language.scan(text, language.start, cuts)
+    spacing, language.spacing = language.spacing, 0
+    bounds = [0, *M.effective(language, M.Run(language.start), cuts), len(text)]
+    language.spacing = spacing
+    return [text[a:b] for a, b in zip(bounds, bounds[1:])], run.root
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_groups_are_balanced_statements(name):
+    groups, root = _groups(name, LONG[name])
+    assert len(groups) > 1
+    assert all(piece_parses(name, g, i == 0, i == len(groups) - 1, root) for i, g in enumerate(groups))
+    assert not any("@deco\n" in g and "def g" not in g for g in groups)
+
+
+@pytest.mark.parametrize("text", ['{"a": 1,\n,"b": 2}', '{,\n"a": 1}', '{"a": 1,\n}', '[1,\n,2]', '{"a": 1,\n"b": 2}\n{"c": 3,\n"d": 4}', '{"a": 1\n"b": 2,\n"c": 3}', '["a",\n"b": 2,\n3]'])
+def test_no_group_hides_a_fault_of_the_whole(text):
+    groups, root = _groups("json", text)
+    assert not parses("json", text)
+    assert not all(piece_parses("json", g, i == 0, i == len(groups) - 1, root) for i, g in enumerate(groups))
 
 
 def test_files(spark, rows):
@@ -104,12 +141,20 @@ def test_files(spark, rows):
     assert checked_files(df.limit(0)).collect() == []
 
 
-def test_long_files_are_parsed_in_groups(spark, rows):
+@pytest.mark.parametrize("size", [100, 2048])
+def test_long_files_are_parsed_in_groups(spark, rows, size):
     body = "class A%d {\n  function f() { return [1, '}']; }\n}\n"
     good = "<?php\n" + "".join(body % i for i in range(60))
     js = "".join("function f%d(a) {\n  return `x${a}`;\n}\n" % i for i in range(60))
-    data = [(1, "a.php", good), (2, "b.php", good.replace("A30 {", "30 {")), (3, "c.php", good[:-3]), (4, "d.js", js), (5, "e.js", js + "let;x y"), (6, "f.php", js), (7, "g.php", "<?php if ($a):\n" + good[6:] + "endif;\n")]
+    items = "".join('<i n="%d">\n<k/>&amp;\n</i>\n' % i for i in range(300))
+    members = ",\n".join('{"i": %d,\n"k": [1,\n2]}' % i for i in range(300))
+    code = "".join("@d\ndef f%d(a):\n    return [\n1]\nif a:\n    b = '''x\n'''\nelse:\n    pass\n" % i for i in range(100))
+    more = [
+        (8, "h.xml", f"<?xml version='1.0'?>\n<r>\n{items}</r>\n"), (9, "i.xml", f"<r>\n{items}</r>\n<r/>"), (10, "j.xml", f"<r>\n{items}&x;\n{items}</r>"),
+        (11, "k.json", f"[{members}]"), (12, "l.json", f"[{members},\n]"), (13, "m.json", f'{{"a": [{members}],\n"b": {{}}}}'),
+        (14, "n.py", code), (15, "o.py", code + "else:\n    pass\n" + code), (16, "p.py", code.replace("f77(a):", "f77(a:")), (17, "q.php", js + "no tag" + js),
+    ]
+    data = [*more, (1, "a.php", good), (2, "b.php", good.replace("A30 {", "30 {")), (3, "c.php", good[:-3]), (4, "d.js", js), (5, "e.js", js + "let;x y"), (6, "f.php", js), (7, "g.php", "<?php if ($a):\n" + good[6:] + "endif;\n")]
     df = spark.createDataFrame([(i, "p", p, t) for i, p, t in data], "file_id long, project_id string, relative_path string, source_text string")
-    want = [(1, True), (2, False), (3, False), (4, True), (5, False), (6, False), (7, True)]
-    assert rows(checked_files(df, long_chars=500), "file_id", "valid") == want
-    assert rows(checked_files(df), "file_id", "valid") == want
+    bad = {2, 3, 5, 6, 9, 10, 12, 15, 16, 17}
+    assert dict(rows(checked_files(df.unionByName(df), size), "file_id", "valid")) == {i: i not in bad for i in range(1, 18)}
