@@ -152,7 +152,8 @@ def _sound(v: str) -> str:
         return v.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _parsed(text: str) -> tuple[bool, object]:
+def parsed(text: str) -> tuple[bool, object]:
+    """(whether the text is whole JSON, its value)."""
     try:
         if text.startswith("\ufeff"):
             return False, None
@@ -190,7 +191,7 @@ def _deep(text: str) -> tuple[bool, object]:
 
 def tree(text: str) -> tuple[bool, object]:
     """(whether the text is whole JSON, its value), strings that hold an object or array being read in their place."""
-    found, root = _parsed(text)
+    found, root = parsed(text)
     if not found:
         return False, None
     box = [root]
@@ -222,7 +223,7 @@ def _inner(text: str) -> object:
     """The object or array that a string leads to, at any number of wrappings; else the string."""
     v: object = text
     while type(v) is str and v.lstrip(" \t\n\r")[:1] in ("{", "[", '"'):
-        found, v = _parsed(v)
+        found, v = parsed(v)
         if not found:
             return text
     return v if type(v) is dict or type(v) is list else text
