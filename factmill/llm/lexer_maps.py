@@ -64,6 +64,7 @@ class Language:
 
     def __init__(self, start: str, finals: set[str], states: dict[str, str], cut: str, level: int = 0, spacing: int = 0, veto: Callable[[str, int], bool] | None = None):
         self.start, self.finals, self.level, self.spacing, self.veto = start, finals, level, spacing, veto
+        self.heredocs = "?P<here>" in "".join(states.values())
         self.states = {s: re.compile(r, re.S | re.I | re.M) for s, r in states.items()}
         self.cut = re.compile(cut)
 
@@ -195,7 +196,7 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
 
 def states_of(language: Language, text: str) -> list[str]:
     """All states of a text, heredocs being one per label that it may open."""
-    return [*language.states, *(["here:" + x for x in sorted(set(_LABEL.findall(text)))] if language is PHP else [])]
+    return [*language.states, *(["here:" + x for x in sorted(set(_LABEL.findall(text)))] if language.heredocs else [])]
 
 
 def state_map(language: Language, chunk: str, states: list[str]) -> dict[str, tuple[Run, list[tuple[int, int]]]]:

@@ -173,6 +173,11 @@ def chunk_rows(rows: DataFrame, size: int = lexer_maps.CHUNK_CHARS) -> DataFrame
     return rows.mapInPandas(run, _CHUNK)
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Partitions of a shuffle before a Python stage: so few bytes are so much work that Spark must not join them by size."""
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _grouped(batches, keys: list[str], order: str, columns: list[str]):
     """(key, rows) of sorted batches, equal places once; a key's rows may lie in several batches."""
     key, rows, last = None, [], None
@@ -201,7 +206,7 @@ def _scanned(rows: DataFrame, keys: list[str], order: str, columns: list[str], s
                 out = []
         yield pd.DataFrame(out, columns=_names(schema))
 
-    return rows.select(*keys, order, *columns).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+    return rows.select(*keys, order, *columns).repartition(_tasks(rows), *keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
 
 
 def chunk_starts(chunks: DataFrame) -> DataFrame:
@@ -265,8 +270,9 @@ def _pieces(chunks: DataFrame, starts: DataFrame) -> DataFrame:
             made = pd.DataFrame(out, columns=_names(_PIECE))
             yield made.astype({"head": "Int64", "pos": "Int64", "ok": "boolean", "first": "boolean", "last": "boolean"})
 
-    closed = starts.where("closed").drop("closed")
-    return chunks.drop("map", "block").join(closed, [*_KEY, "pos"]).mapInPandas(run, _PIECE)
+    at = [*_KEY, "pos"]
+    closed = starts.where("closed").drop("closed").repartition(_tasks(chunks), *at)
+    return chunks.drop("map", "block").repartition(_tasks(chunks), *at).join(closed, at).mapInPandas(run, _PIECE)
 
 
 def _joined(parts: DataFrame) -> DataFrame:
@@ -278,7 +284,7 @@ def _joined(parts: DataFrame) -> DataFrame:
             yield pdf[_names(_FILE)].assign(ok=ok)
 
     text = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("pos", "part"))), lambda x: x["part"]), "")
-    whole = parts.groupBy(*_names(_FILE), "head").agg(text.alias("part"), F.max("first").alias("first"), F.max("last").alias("last"), F.max("root").alias("root"))
+    whole = parts.repartition(_tasks(parts), *_names(_FILE), "head").groupBy(*_names(_FILE), "head").agg(text.alias("part"), F.max("first").alias("first"), F.max("last").alias("last"), F.max("root").alias("root"))
     return whole.mapInPandas(run, f"{_FILE}, ok boolean")
 
 

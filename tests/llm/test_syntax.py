@@ -153,8 +153,9 @@ def test_long_files_are_parsed_in_groups(spark, rows, size):
         (8, "h.xml", f"<?xml version='1.0'?>\n<r>\n{items}</r>\n"), (9, "i.xml", f"<r>\n{items}</r>\n<r/>"), (10, "j.xml", f"<r>\n{items}&x;\n{items}</r>"),
         (11, "k.json", f"[{members}]"), (12, "l.json", f"[{members},\n]"), (13, "m.json", f'{{"a": [{members}],\n"b": {{}}}}'),
         (14, "n.py", code), (15, "o.py", code + "else:\n    pass\n" + code), (16, "p.py", code.replace("f77(a):", "f77(a:")), (17, "q.php", js + "no tag" + js),
+        (18, "r.php", good + "$x = <<<'NOTE'\n" + "it's { text\n" * 200 + "NOTE;\n" + good[6:].replace("A", "B")),
     ]
     data = [*more, (1, "a.php", good), (2, "b.php", good.replace("A30 {", "30 {")), (3, "c.php", good[:-3]), (4, "d.js", js), (5, "e.js", js + "let;x y"), (6, "f.php", js), (7, "g.php", "<?php if ($a):\n" + good[6:] + "endif;\n")]
     df = spark.createDataFrame([(i, "p", p, t) for i, p, t in data], "file_id long, project_id string, relative_path string, source_text string")
     bad = {2, 3, 5, 6, 9, 10, 12, 15, 16, 17}
-    assert dict(rows(checked_files(df.unionByName(df), size), "file_id", "valid")) == {i: i not in bad for i in range(1, 18)}
+    assert dict(rows(checked_files(df.unionByName(df), size), "file_id", "valid")) == {i: i not in bad for i in range(1, 19)}
