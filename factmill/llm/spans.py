@@ -3,8 +3,11 @@
 The texts are cut into non-overlapping reference blocks of 20 characters. Nine
 adjacent blocks (180 characters) are one index entry, so that any span of 200
 characters holds a whole entry, wherever it starts. The index is probed with the
-rolling windows of 180 characters of all texts, and hits are extended to maximal
-exact repeats.
+rolling windows of 180 characters of all texts, and hits are extended on the
+texts to maximal exact repeats: a pair counts only with one of 200 characters.
+
+Blocks of 100 characters would be the longest that every span holds whole, but
+by themselves they would pair all texts with the same notice of 128 characters.
 
 Most windows of a corpus match nothing, and shipping them all would cost many
 times the input. They are pruned without loss: of every 73 successive grams of
@@ -28,6 +31,8 @@ LEAST = 200  # characters a shared span has at least
 BLOCK = 20  # reference blocks; an index entry is the most blocks that any span holds whole
 GRAM = 128  # grams of the pruning: the longer, the less boilerplate is probed, and the more grams are chosen
 HOT_SHARE = 1000
+HOT_ENTRY = 2048  # rows of an entry that meet in one task; of more, each task takes a share
+HASH_BYTES = 64 << 20  # of live grams in a partition, up to which they are joined by hash
 _BATCH_CHARS = 2_000_000
 
 # Rolling hash: a polynomial modulo 2^64 with an odd base, so windows come from prefix sums.
@@ -162,11 +167,7 @@ def _chosen_grams(docs: DataFrame, least: int, block: int, gram: int) -> DataFra
 
 
 def _entries(docs: DataFrame, live: DataFrame, least: int, block: int, gram: int) -> DataFrame:
-    """(entry, longer, reference, doc_id): index entries and the rolling windows that may meet one.
-
-    ``entry`` is the hash of ``least - block`` characters, ``longer`` that of
-    ``least`` characters at the same place (null where the text ends before).
-    """
+    """(entry, reference, doc_id): index entries and the rolling windows that may meet one, by the hash of their characters."""
     size = least - block
     reach = range(-(least - gram), block)
 
@@ -197,18 +198,15 @@ def _entries(docs: DataFrame, live: DataFrame, least: int, block: int, gram: int
                 s = np.flatnonzero(want)
                 who = t.owner(s)
                 entry = t.at(s, size).view(np.int64)
-                whole = s + least <= t.ends[who]
-                longer = t.at(np.where(whole, s, 0), least).view(np.int64) if t.n >= least else np.zeros(len(s), np.int64)
                 reference = (s - t.starts[who]) % block == 0
-                keep = _first(who, entry, np.where(whole, longer, 0), reference)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(entry[keep]), pa.array(longer[keep], mask=~whole[keep]), pa.array(reference[keep]), pa.array(ids[at + who[keep]])],
-                    names=["entry", "longer", "reference", "doc_id"],
-                )
+                keep = _first(who, entry, reference)
+                yield pa.RecordBatch.from_arrays([pa.array(entry[keep]), pa.array(reference[keep]), pa.array(ids[at + who[keep]])], names=["entry", "reference", "doc_id"])
 
-    # The live grams are the smaller side; a hash join spares sorting the texts.
-    both = docs.join(live.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "live")
-    return both.mapInArrow(run, "entry bigint, longer bigint, reference boolean, doc_id bigint")
+    # A hash join spares sorting the texts; grams too many for a partition's memory are sorted.
+    grams = live.agg(F.sum(F.size("live") + 4)).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = docs.join(live.hint("shuffle_hash") if grams * 24 <= HASH_BYTES * parts else live, "doc_id").select("doc_id", "text", "live")
+    return both.mapInArrow(run, "entry bigint, reference boolean, doc_id bigint")
 
 
 def _hot_grams(grams: DataFrame) -> DataFrame:
@@ -248,19 +246,25 @@ def _shared_grams(grams: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(docs: DataFrame, least: int, block: int, gram: int) -> DataFrame:
-    """(a, b, sure): pairs of texts with a common index entry; sure where ``least`` characters at it agree."""
+    """(a, b): pairs of texts with a common index entry.
+
+    The rows of a hot entry are shared out: each probing text goes to one of
+    several tasks, and the entry's reference rows to all of them.
+    """
     grams = materialize(_chosen_grams(docs, least, block, gram), "grams")
     shared = _shared_grams(grams)
-    live = shared.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "phases")).alias("live"))
+    live = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "phases")).alias("live")), "live_grams")
     entries = materialize(_entries(docs, live, least, block, gram), "entries")
-    index = entries.where("reference").select("entry", F.col("longer").alias("longer_r"), F.col("doc_id").alias("r"))
-    hits = entries.join(index, "entry").where(F.col("doc_id") != F.col("r"))
-    sure = F.coalesce(F.col("longer") == F.col("longer_r"), F.lit(False))
-    return hits.groupBy(F.least("doc_id", "r").alias("a"), F.greatest("doc_id", "r").alias("b")).agg(F.max(sure).alias("sure"))
+    counts = entries.groupBy("entry").agg(F.count("*").alias("n"), F.bool_or("reference").alias("met"))
+    shares = materialize(counts.where(F.col("met") & (F.col("n") > 1)).select("entry", F.ceil(F.col("n") / HOT_ENTRY).alias("shares")), "entries_met")
+    probes = entries.join(shares, "entry").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")))
+    index = entries.where("reference").join(shares, "entry").select("entry", F.col("doc_id").alias("r"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"))
+    hits = probes.select("entry", "share", "doc_id").join(index, ["entry", "share"]).where(F.col("doc_id") != F.col("r"))
+    return hits.select(F.least("doc_id", "r").alias("a"), F.greatest("doc_id", "r").alias("b")).distinct()
 
 
-def _repeats(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """Maximal exact repeats (start in a, start in b, length) of at least ``least`` characters.
+def _repeats(a: str, b: str, least: int, first: bool = False) -> list[tuple[int, int, int]]:
+    """Maximal exact repeats (start in a, start in b, length) of at least ``least`` characters; with ``first`` one is enough.
 
     Fixed blocks of half the length index one text, every window of the other
     probes them, and hits are extended both ways.
@@ -291,20 +295,11 @@ def _repeats(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
             seen[s - p] = p + high
             if low + high >= least:
                 found.add((s - low, p - low, low + high))
+                if first:
+                    return list(found)
     return sorted(found)
 
 
-def _share(a: str, b: str, least: int) -> bool:
-    """Whether both texts hold one run of ``least`` characters: its hashes meet, and the characters do."""
-    x, y = Texts([a]), Texts([b])
-    hx, hy = x.rolling(least), y.rolling(least)
-    for h in np.intersect1d(hx, hy):
-        s = int(np.flatnonzero(hx == h)[0])
-        if a[s : s + least] in b:
-            return True
-    return False
-
-
 def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -322,20 +317,22 @@ def shared_span_pairs(documents: DataFrame, id_column: str = "doc_id", text_colu
     if not (0 < block <= 62 and block < gram < least):
         raise ValueError("block < gram < least and block <= 62 must hold")
     docs = _documents(documents, id_column, text_column, least)
-    pairs = materialize(candidate_pairs(docs, least, block, gram), "span_pairs")
-    open_pairs = pairs.where(~F.col("sure"))
+    pairs, texts = _candidates(docs, least, block, gram)
 
-    def check(batches):
+    def extend(batches):
         for pdf in batches:
-            ok = [_share(x, y, least) for x, y in zip(pdf["text_a"], pdf["text_b"])]
+            ok = [bool(_repeats(x, y, least, first=True)) for x, y in zip(pdf["text_a"], pdf["text_b"])]
             yield pdf.loc[ok, ["a", "b"]]
 
-    # Only runs of fewer than least + block characters can be open. Their texts are
-    # fetched for an exact check.
-    needed = open_pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi")
-    checked = _with_texts(open_pairs, texts).mapInPandas(check, "a bigint, b bigint")
-    return pairs.where("sure").select("a", "b").unionByName(checked).toDF("doc_id_a", "doc_id_b")
+    # rows that repeat an id may tell the same pair more than once
+    return _with_texts(pairs, texts).mapInPandas(extend, "a bigint, b bigint").distinct().toDF("doc_id_a", "doc_id_b")
+
+
+def _candidates(docs: DataFrame, least: int, block: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs, and the texts that are in any of them."""
+    pairs = materialize(candidate_pairs(docs, least, block, gram), "span_pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pairs, materialize(docs.join(needed, "doc_id", "left_semi"), "span_texts")
 
 
 def maximal_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST, block: int = BLOCK, gram: int = GRAM) -> DataFrame:
@@ -344,15 +341,13 @@ def maximal_repeats(documents: DataFrame, id_column: str = "doc_id", text_column
     The same nulls, short texts and repeats as ``shared_span_pairs``.
     """
     docs = _documents(documents, id_column, text_column, least)
-    pairs = materialize(candidate_pairs(docs, least, block, gram), "span_pairs")
+    pairs, texts = _candidates(docs, least, block, gram)
 
     def extend(batches):
         for pdf in batches:
             rows = [(a, s, b, t, n) for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"]) for s, t, n in _repeats(x, y, least)]
             yield pd.DataFrame(rows, columns=["doc_id_a", "start_a", "doc_id_b", "start_b", "length"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(needed, "doc_id", "left_semi")
     return _with_texts(pairs, texts).mapInPandas(extend, "doc_id_a bigint, start_a bigint, doc_id_b bigint, start_b bigint, length bigint")
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.llm import spans
 from factmill.llm.spans import _repeats, all_amounts, maximal_repeats, shared_amounts, shared_span_pairs
 
 SMALL = {"least": 30, "block": 4, "gram": 16}
@@ -117,3 +118,11 @@ def test_amounts_have_a_row_for_every_document(spark, rows):
     df = spark.createDataFrame([(1, same), (2, "x" + same), (3, "nothing in common with the others at all, nowhere"), (4, None), (5, ""), (6, "short")], "doc_id long, text string")
     got = rows(all_amounts(df, maximal_repeats(df, **SMALL)))
     assert got == [(1, len(same), len(same), 1), (2, len(same) + 1, len(same), 1), (3, 49, 0, 0), (4, None, 0, 0), (5, 0, 0, 0), (6, 5, 0, 0)]
+
+
+def test_hot_entries_are_shared_out(spark, rows, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_ENTRY", 2)
+    shared = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(230))
+    texts = [(i, f"{i} " * (i % 5) + shared + f" {i}") for i in range(12)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert rows(spans.shared_span_pairs(df)) == sorted([(a, b) for a in range(12) for b in range(a + 1, 12)], key=str)
