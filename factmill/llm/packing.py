@@ -3,7 +3,8 @@
 Items are hashed into partitions and packed best-fit decreasing. Dual-feasible
 functions give each partition a lower bound on its containers: a partition that
 meets its bound is certified and final. Partitions with a gap exchange the items
-of their unfilled containers and are packed again, in ever fewer partitions.
+of their unfilled containers and are packed again, mixed anew, until a bound over all
+items certifies the whole or exchanging saves nothing more.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from factmill.io import materialize, table
 from factmill.llm.tokenizer import VOCABULARY, token_counts
 
 PARTITION_ITEMS = 20_000
-ROUNDS = 4
+PATIENCE = 2  # rounds without gain after which a capacity is closed
+MOST_CAPACITIES = 1_000
+FUNCTIONS = 256  # u(k) of greater k come ever closer to the plain volume
 
 _PACKED = "capacity_id int, capacity bigint, part bigint, bin bigint, item_id bigint, piece bigint, size bigint, fill bigint, gap bigint"
 
@@ -49,7 +52,7 @@ def lower_bound_counts(sizes: np.ndarray, counts: np.ndarray, capacity: int) ->
         whole = many[-1] - many[capacity - t]
         middle = volume[capacity - t] - volume[t - 1]
         best = max(best, int((whole + -(-middle // capacity)).max()))
-    for k in range(1, 21):
+    for k in range(1, min(FUNCTIONS, max(1, capacity // int(sizes.min()))) + 1):
         y = (k + 1) * x
         f = np.where(y % capacity == 0, y * k // (k + 1), (y // capacity) * capacity)  # times capacity * k
         best = max(best, -(-int((count * f).sum()) // (capacity * k)))
@@ -98,59 +101,84 @@ def pieces(items: DataFrame, capacities: DataFrame) -> DataFrame:
     A longer item gives full pieces and a rest. Null and negative sizes count as 0.
     """
     caps = capacities.select(F.col("capacity_id").cast("int").alias("capacity_id"), F.col("capacity").cast("bigint").alias("capacity")).where("capacity > 0").distinct()
-    # The capacities are a parameter list of fixed length; every item is wanted for each of them.
-    both = items.select("item_id", F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("bigint").alias("total")).crossJoin(F.broadcast(caps))
+    # The capacities are a parameter list, so each item can carry them all.
+    given = caps.limit(MOST_CAPACITIES + 1).collect()
+    if len(given) > MOST_CAPACITIES:
+        raise ValueError(f"at most {MOST_CAPACITIES} capacities can be given")
+    total = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("bigint").alias("total")
+    listed = F.array(*[F.struct(F.lit(c.capacity_id).alias("capacity_id"), F.lit(c.capacity).cast("bigint").alias("capacity")) for c in given])
+    both = items.select("item_id", total, F.explode(listed.cast("array<struct<capacity_id:int,capacity:bigint>>")).alias("c")).select("item_id", "total", "c.*")
     last = F.greatest(F.ceil(F.col("total") / F.col("capacity")) - 1, F.lit(0))
     cut = both.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece"))
     return cut.select("capacity_id", "capacity", "item_id", "piece", F.least(F.col("capacity"), F.col("total") - F.col("piece") * F.col("capacity")).alias("size"))
 
 
-def pack(cut: DataFrame, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def bounds(cut: DataFrame) -> DataFrame:
+    """(capacity_id, capacity, tokens, pieces, least): of each capacity the bound over all pieces."""
+    # The bound needs only how often each size occurs: at most `capacity` rows per capacity.
+    sizes = cut.groupBy("capacity_id", "capacity", "size").agg(F.count("*").alias("n"))
+
+    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
+        capacity = int(pdf["capacity"].iloc[0])
+        at = pdf[pdf["size"] > 0]
+        least = lower_bound_counts(at["size"].to_numpy(np.int64), at["n"].to_numpy(np.int64), capacity)
+        return pd.DataFrame({"capacity_id": pdf["capacity_id"].iloc[:1], "capacity": capacity, "tokens": int((pdf["size"] * pdf["n"]).sum()), "pieces": int(pdf["n"].sum()), "least": max(least, 1)})
+
+    return sizes.groupBy("capacity_id").applyInPandas(bound, "capacity_id int, capacity bigint, tokens bigint, pieces bigint, least bigint")
+
+
+def pack(cut: DataFrame, partition_items: int = PARTITION_ITEMS) -> DataFrame:
     """(capacity_id, container_id, item_id, piece, size) of ``pieces``: no container over its capacity, every piece once.
 
     Pieces that fill a container are placed alone at once. The rest goes through
-    the rounds of certified repacking; a round is kept only for capacities whose
-    containers it made fewer. Ties in size are broken by item and piece, so the
+    rounds of certified repacking, in partitions of about ``partition_items``. A
+    round is kept for the capacities whose containers it made fewer; a capacity
+    is done when the bound over all its pieces is met, when one partition holds
+    all that is left, or after ``PATIENCE`` rounds that saved nothing.
+    Ties in size are broken by item and piece, so the
     result doesn't depend on the order of rows. Empty input gives an empty result.
     """
     full = cut.where(F.col("size") == F.col("capacity")).select(
         "capacity_id", F.concat_ws("-", F.lit("full"), F.col("item_id"), F.col("piece")).alias("container_id"), "item_id", "piece", "size"
     )
-    rest = cut.where(F.col("size") < F.col("capacity"))
-    closed: list[DataFrame] = [full]
-    last_parts = None
-    for r in range(rounds):
-        n = rest.groupBy("capacity_id").count().agg(F.max("count")).first()[0] or 0
-        if not n:
-            break
-        parts = -(-n // partition_items)
-        if last_parts is not None:
-            parts = min(parts, max(1, last_parts // 2))
-        packed = rest.withColumn("part", F.pmod(F.xxhash64("item_id", "piece", F.lit(r)), F.lit(parts)))
-        packed = materialize(packed.groupBy("capacity_id", "part").applyInPandas(_pack, _PACKED), f"pack{r}")
-        if r:
-            # one row per capacity comes to the driver
-            bins = dict(packed.groupBy("capacity_id").agg(F.countDistinct("part", "bin")).collect())
-            better = [c for c, b in bins.items() if b < before.get(c, 0)]
-            closed.append(open_rows.where(~F.col("capacity_id").isin(better)).select(*closed[0].columns))
-            packed = packed.where(F.col("capacity_id").isin(better))
-        packed = packed.withColumn("container_id", F.concat_ws("-", F.lit(r), "part", "bin"))
-        final = (F.col("gap") <= 0) | (F.col("fill") == F.col("capacity"))
-        done = packed if parts == 1 or r == rounds - 1 else packed.where(final)
-        closed.append(done.select(*closed[0].columns))
-        if parts == 1 or r == rounds - 1:
-            break
-        open_rows = packed.where(~final)
-        before = dict(open_rows.groupBy("capacity_id").agg(F.countDistinct("container_id")).collect())
-        rest, last_parts = open_rows.select("capacity_id", "capacity", "item_id", "piece", "size"), parts
-        if not before:
+    columns = full.columns
+    # What comes to the driver is a row per capacity.
+    least = {b.capacity_id: b.least for b in bounds(cut).select("capacity_id", "least").collect()}
+    used: dict[int, int] = dict(full.groupBy("capacity_id").count().collect())
+    rest = materialize(cut.where(F.col("size") < F.col("capacity")), "unplaced")
+    closed, kept, waited, r = [full], None, dict.fromkeys(least, 0), 0
+    while True:
+        left = dict(rest.groupBy("capacity_id").count().collect())
+        if not left:
             break
+        parts = {c: -(-n // partition_items) for c, n in left.items()}
+        number = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)])[F.col("capacity_id")]
+        packed = rest.withColumn("part", F.pmod(F.xxhash64("item_id", "piece", F.lit(r)), number))
+        packed = materialize(packed.groupBy("capacity_id", "part").applyInPandas(_pack, _PACKED).withColumn("container_id", F.concat_ws("-", F.lit(r), "part", "bin")), f"pack{r}")
+        bins = _bins(packed)
+        if kept is not None:  # where nothing was saved, what was packed before holds
+            worse = [c for c, b in bins.items() if b >= before[c]]
+            waited.update({c: waited[c] + 1 for c in worse})
+            packed = packed.where(~F.col("capacity_id").isin(worse)).unionByName(kept.where(F.col("capacity_id").isin(worse)))
+            bins.update({c: before[c] for c in worse})
+        over = [c for c, b in bins.items() if parts[c] == 1 or used.get(c, 0) + b <= least[c] or waited[c] >= PATIENCE]
+        final = (F.col("gap") <= 0) | (F.col("fill") == F.col("capacity")) | F.col("capacity_id").isin(over)
+        done, kept = materialize(packed.where(final), f"placed{r}"), materialize(packed.where(~final), f"unfilled{r}")
+        closed.append(done.select(*columns))
+        for c, b in _bins(done).items():
+            used[c] = used.get(c, 0) + b
+        before = _bins(kept)
+        rest, r = kept.select("capacity_id", "capacity", "item_id", "piece", "size"), r + 1
     out = closed[0]
     for more in closed[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _bins(packed: DataFrame) -> dict[int, int]:
+    return dict(packed.groupBy("capacity_id").agg(F.count_distinct("container_id")).collect())
+
+
 def _packed(spark: SparkSession, sf_dir: str, path: str) -> tuple[DataFrame, DataFrame]:
     counts = token_counts(table(spark, sf_dir, "documents"), path=path)
     items = materialize(counts.select(F.col("doc_id").alias("item_id"), F.col("tokens").alias("size")), "token_counts")
@@ -169,17 +197,11 @@ def p7_containers(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> D
 
 
 def p7_report(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
-    """(capacity_id, capacity, pieces, tokens, containers, least, unused): of each capacity, with the bound over all pieces."""
-    cut, packed = _packed(spark, sf_dir, path)
-    # The bound needs only how often each size occurs: at most `capacity` rows per capacity.
-    sizes = cut.groupBy("capacity_id", "capacity", "size").agg(F.count("*").alias("n"))
-
-    def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        capacity = int(pdf["capacity"].iloc[0])
-        at = pdf[pdf["size"] > 0]
-        least = lower_bound_counts(at["size"].to_numpy(np.int64), at["n"].to_numpy(np.int64), capacity)
-        return pd.DataFrame({"capacity_id": pdf["capacity_id"].iloc[:1], "capacity": capacity, "tokens": int((pdf["size"] * pdf["n"]).sum()), "pieces": int(pdf["n"].sum()), "least": least})
+    """(capacity_id, capacity, pieces, tokens, containers, least, unused, certified): of each capacity, with the bound over all pieces.
 
-    bounds = sizes.groupBy("capacity_id").applyInPandas(bound, "capacity_id int, capacity bigint, tokens bigint, pieces bigint, least bigint")
+    ``certified`` says that no packing needs fewer containers.
+    """
+    cut, packed = _packed(spark, sf_dir, path)
     used = packed.groupBy("capacity_id").agg(F.countDistinct("container_id").alias("containers"))
-    return bounds.join(used, "capacity_id").select("capacity_id", "capacity", "pieces", "tokens", "containers", "least", (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused"))
+    unused = F.col("containers") * F.col("capacity") - F.col("tokens")
+    return bounds(cut).join(used, "capacity_id").select("capacity_id", "capacity", "pieces", "tokens", "containers", "least", unused.alias("unused"), (F.col("containers") <= F.col("least")).alias("certified"))
