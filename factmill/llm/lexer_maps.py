@@ -124,6 +124,7 @@ PHP = Language(
         "dq": r"\\.|\{\$[^{}]*+\}|(?P<to_code>\")",
     },
     _behind("abstract|final|class|interface|trait|enum|function|use"),
+    spacing=512,
 )
 JS = Language(
     "code",
@@ -134,6 +135,7 @@ JS = Language(
         "tpl": r"\\.|(?P<to_code>`)",
     },
     _behind("class|function|async function|const|let|var"),
+    spacing=512,
 )
 JSON = Language("code", {"code"}, {"code": r'"(?:[^"\\\r\n]|\\.)*+"|(?P<open>[\[{])|(?P<close>[\]}])'}, r",\s*", level=1, spacing=512)
 _NAME = r"[^\s<>/!?=\"'&;]++"
