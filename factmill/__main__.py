@@ -33,6 +33,11 @@ def _scan(spark: SparkSession, m: M.Manifest, cache_dir: str | None):
     return files.drop("partial"), files.groupBy("project_id").agg(F.max("partial").alias("partial")), classes
 
 
+def _project(spark: SparkSession, m: M.Manifest):
+    """The project, which has a document even without files or routes."""
+    return spark.createDataFrame([(m.root,)], "project_id string")
+
+
 def run(m: M.Manifest, spark: SparkSession | None = None, cache_dir: str | None = None, stamp: bool = False) -> tuple[str, str]:
     """(pretty JSON, digest) of a manifest's project."""
     from factmill.plans.summary import summary
@@ -40,8 +45,8 @@ def run(m: M.Manifest, spark: SparkSession | None = None, cache_dir: str | None
     spark = spark or _session()
     files, partial, classes = _scan(spark, m, cache_dir)
     when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if stamp else None
-    row = summary(files, m.features, partial, when, pretty=True, classes=classes).first()
-    return (row.document, row.sha256) if row else ("{}", "")
+    row = summary(files, m.features, partial, when, pretty=True, classes=classes, projects=_project(spark, m)).first()
+    return row.document, row.sha256
 
 
 def respond(r: M.Request, spark: SparkSession | None = None, cache_dir: str | None = None) -> tuple[str, str]:
@@ -51,8 +56,8 @@ def respond(r: M.Request, spark: SparkSession | None = None, cache_dir: str | No
     spark = spark or _session()
     files, partial, classes = _scan(spark, r.manifest, cache_dir)
     routes = M.routes_table(spark, r, r.manifest.root)
-    row = answer(files, routes, F.lit(r.request_id), F.lit(r.fingerprint), r.manifest.features, partial, classes).first()
-    return (row.document, row.sha256) if row else ("{}", "")
+    row = answer(files, routes, F.lit(r.request_id), F.lit(r.fingerprint), r.manifest.features, partial, classes, _project(spark, r.manifest), r.version).first()
+    return row.document, row.sha256
 
 
 def _read(at: str) -> tuple[str, str | None]:

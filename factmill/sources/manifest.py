@@ -99,6 +99,7 @@ class Request:
     fingerprint: str
     manifest: Manifest
     routes: list[dict[str, Any]]
+    version: str = CONTRACT_VERSION
 
 
 # Allowed keys of the closed-world parts, with those that must be there.
@@ -107,6 +108,8 @@ _RUNTIME = {"app": True, "packages": False, "routes": True}
 _APP = {"basePath": True, "laravelVersion": True, "phpVersion": True, "appEnv": True}
 _ROUTE = {k: k in ("routeId", "methods", "uri", "middleware", "where", "defaults", "bindings", "action") for k in ("routeId", "methods", "uri", "domain", "name", "prefix", "middleware", "where", "defaults", "bindings", "action")}
 _ACTION = {"kind": True, "fqcn": False, "method": False}
+_BINDING = {"parameter": True, "kind": True, "targetFqcn": False, "isImplicit": True}
+_PACKAGE = {"name": True, "version": False}
 
 
 def _closed(data: Any, keys: dict[str, bool], where: str) -> dict[str, Any]:
@@ -132,6 +135,8 @@ def load_request(text: str, source: str | None = None) -> Request:
         raise InvalidInput("analysis request validation failed: unsupported contractVersion")
     runtime = _closed(data["runtime"], _RUNTIME, "runtime")
     app = _closed(runtime["app"], _APP, "runtime.app")
+    for package in runtime.get("packages") or []:
+        _closed(package, _PACKAGE, "package")
     manifest = parse_manifest(data["manifest"])
     resolve_root(manifest, source)
     if not os.path.isabs(app["basePath"]):
@@ -142,21 +147,24 @@ def load_request(text: str, source: str | None = None) -> Request:
     for route in runtime["routes"]:
         _closed(route, _ROUTE, "route")
         action = _closed(route["action"], _ACTION, "action")
+        for binding in route["bindings"] or []:
+            _closed(binding, _BINDING, "binding")
         if action["kind"] == "invokable_controller" and action.get("method") is None:
             action["method"] = "__invoke"
         if route["routeId"] in seen:
             raise InvalidInput(f'runtime.routes contains duplicate routeId "{route["routeId"]}"')
         seen.add(route["routeId"])
-    return Request(data["requestId"], data["runtimeFingerprint"], manifest, runtime["routes"])
+    validate_manifest(manifest)
+    return Request(data["requestId"], data["runtimeFingerprint"], manifest, runtime["routes"], version)
 
 
-ROUTES = "route_id string, pos int, methods array<string>, uri string, domain string, name string, prefix string, middleware array<string>, action_kind string, action_fqcn string, action_method string"
+ROUTES = "route_id string, pos int, methods array<string>, uri string, domain string, name string, prefix string, middleware array<string>, action_kind string, action_fqcn string, action_method string, where string, defaults string, bindings string"
 
 
 def routes_table(spark: SparkSession, request: Request, project_id: str) -> DataFrame:
-    """The request's routes with their action keys, one row per route in order."""
+    """The request's routes with their action keys, one row per route in order; where, defaults and bindings as JSON."""
     rows = [
-        (r["routeId"], i, r["methods"], r["uri"], r.get("domain"), r.get("name"), r.get("prefix"), r["middleware"], r["action"]["kind"], r["action"].get("fqcn"), r["action"].get("method"))
+        (r["routeId"], i, r["methods"], r["uri"], r.get("domain"), r.get("name"), r.get("prefix"), r["middleware"], r["action"]["kind"], r["action"].get("fqcn"), r["action"].get("method"), *(json.dumps(r[k], sort_keys=True) for k in ("where", "defaults", "bindings")))
         for i, r in enumerate(request.routes)
     ]
     key = action_key(F.col("action_kind"), F.col("action_fqcn"), F.col("action_method"))

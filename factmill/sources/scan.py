@@ -36,6 +36,40 @@ def limit_files(files: DataFrame, most: int | None) -> DataFrame:
     return ranked.where(F.col("__n") <= most).drop("__n")
 
 
+def _hidden_name(name: str) -> bool:
+    """Whether Spark's own listing passes a name over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name)
+
+
+def hidden_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """(path, modificationTime, length, content) of PHP files that Spark's listing leaves out for a name on their way that begins with ``.`` or ``_``."""
+    jvm, found = spark.sparkContext._jvm, {}
+    for root in roots:
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+        own = len(root.rstrip("/").split("/")) - 1  # the target's own name counts
+        while listed.hasNext():
+            f = listed.next()
+            path = f.getPath().toString()
+            if path.lower().endswith(".php") and any(map(_hidden_name, path.split("/")[own:])):
+                found[path] = (path, f.getModificationTime(), f.getLen())
+    names = spark.createDataFrame(list(found.values()), "path string, ms long, length long")
+
+    def read(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            texts = []
+            for path in pdf["path"]:
+                where, name = (fs.LocalFileSystem(), path.split(":", 1)[1]) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+                with where.open_input_stream(name, compression=None) as f:
+                    texts.append(f.read())
+            yield pdf.assign(content=texts)
+
+    rows = names.mapInPandas(read, "path string, ms long, length long, content binary")
+    return rows.select("path", F.timestamp_millis("ms").alias("modificationTime"), "length", "content")
+
+
 def scan_project(spark: SparkSession, root: str, targets: Sequence[str] = ("app", "routes"), whitelist: Sequence[str] = (), max_files: int | None = None, max_depth: int | None = None, project_id: str | None = None) -> DataFrame:
     """(FILES, partial) of a project on any file system Spark reads.
 
@@ -57,7 +91,12 @@ def scan_project(spark: SparkSession, root: str, targets: Sequence[str] = ("app"
     plain = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
     root_path = "/" + base.split(":", 1)[1].lstrip("/")
     rel = relative_path(plain, root_path)
-    rows = read.load([p for _, p in paths]).withColumn("relative_path", rel)
+    # Spark passes over names that begin with a dot or underscore; those files are read beside it.
+    seen = [p for _, p in paths if not _hidden_name(p.rstrip("/").rsplit("/", 1)[-1])]
+    rows = hidden_files(spark, [p for _, p in paths])
+    if seen:
+        rows = read.load(seen).select("path", "modificationTime", "length", "content").unionByName(rows)
+    rows = rows.withColumn("relative_path", rel)
     if max_depth is not None:
         depth = F.lit(2**30)
         for t, _ in paths:

@@ -210,3 +210,44 @@ def test_second_run_reads_stored_facts(spark, root, tmp_path, monkeypatch):
 
     monkeypatch.setattr(X, "classes_with_methods", extract)
     assert cli.run(m, spark, f"file://{tmp_path}/store") == plain and asked == [0]
+
+
+def test_additional_is_merged_into_the_resource(spark):
+    texts = {
+        "app/Http/Controllers/ReportController.php": "<?php\nnamespace App\\Http\\Controllers;\nuse App\\Http\\Resources\\ReportResource;\nclass ReportController\n{\n    public function show()\n    {\n        return (new ReportResource($this->find()))->additional(['meta' => ['version' => 2], 'links' => ['self' => 'https://x.test']]);\n    }\n}\n",
+        "app/Http/Resources/ReportResource.php": "<?php\nnamespace App\\Http\\Resources;\nclass ReportResource extends JsonResource\n{\n    public function toArray($request) { return ['id' => $this->id, 'meta' => true]; }\n}\n",
+    }
+    files = spark.createDataFrame([("p", k, v) for k, v in texts.items()], "project_id string, relative_path string, source_text string")
+    files = files.withColumns({"path": F.col("relative_path"), "modified_ms": F.lit(1).cast("bigint"), "size_bytes": F.lit(1).cast("bigint"), "sha256": F.sha2("source_text", 256)})
+    route = [("r", 0, ["GET"], "controller_method", "App\\Http\\Controllers\\ReportController", "show")]
+    routes = spark.createDataFrame(route, "route_id string, pos int, methods array<string>, action_kind string, action_fqcn string, action_method string")
+    routes = routes.select(F.lit("p").alias("project_id"), "*", F.array().cast("array<string>").alias("middleware"), action_key(F.col("action_kind"), F.col("action_fqcn"), F.col("action_method")).alias("action_key"))
+    d = json.loads(answer(files, routes, F.lit("i"), F.lit("f"), version="x.v2").first().document)
+    schema = d["delta"]["controllers"][0]["responses"][0]["bodySchema"]
+    assert d["contractVersion"] == "x.v2" and schema["type"] == "object" and set(schema["properties"]) == {"id", "meta", "links"}
+    assert schema["properties"]["meta"]["properties"]["version"] == {"type": "integer"} and schema["properties"]["links"]["properties"]["self"]["format"] == "uri"
+
+
+def test_files_that_begin_with_dot_or_underscore(spark, rows, tmp_path):
+    names = ["app/a.php", "app/_b.php", "app/.c.PHP", "app/_d/e.php", "app/.f/_g.php", "app/_h.txt", "_i/j.php"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(f"<?php // {n}")
+    got = scan_project(spark, str(tmp_path), ["app", "_i"], project_id="p")
+    assert rows(got, "relative_path") == sorted([(n,) for n in names if n != "app/_h.txt"], key=str)
+    assert all(r.source_text == f"<?php // {r.relative_path}" and r.size_bytes == len(r.source_text) and len(r.sha256) == 64 for r in got.collect())
+
+
+def test_empty_project_and_request_without_routes(spark, tmp_path):
+    from factmill import __main__ as cli
+
+    manifest = {"project": {"root": str(tmp_path)}}
+    d = json.loads(cli.run(M.load_manifest(json.dumps(manifest)), spark)[0])
+    assert d["meta"]["stats"]["filesParsed"] == 0 and d["controllers"] == d["models"] == []
+    app = {"basePath": str(tmp_path), "laravelVersion": "1", "phpVersion": "8", "appEnv": "t"}
+    request = {"contractVersion": "v2", "requestId": "i", "runtimeFingerprint": "f", "manifest": manifest, "runtime": {"app": app, "packages": [{"name": "n", "version": None}], "routes": []}}
+    d = json.loads(cli.respond(M.load_request(json.dumps(request)), spark)[0])
+    assert d["status"] == "ok" and d["routeMatches"] == [] and d["meta"]["stats"]["filesParsed"] == 0
+    request["runtime"]["packages"] = [{"name": "n", "other": 1}]
+    with pytest.raises(M.InvalidInput):
+        M.load_request(json.dumps(request))
