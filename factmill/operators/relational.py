@@ -77,12 +77,6 @@ def merged_kind(kind: str, order: Sequence[str]) -> Column:
     return F.when((first == "array") & F.bool_or(F.coalesce(F.col(kind) == "collection", F.lit(False))), "collection").otherwise(first)
 
 
-def best_tier(df: DataFrame, keys: Sequence[str], tier: str) -> DataFrame:
-    """Rows of the lowest tier of each key; all of them."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn("__t", F.min(tier).over(w)).where(F.col(tier) == F.col("__t")).drop("__t")
-
-
 # Fixed values of the match of runtime routes with static actions.
 KINDS = ("controller_method", "invokable_controller")
 

@@ -168,11 +168,6 @@ def x12_relationships(spark: SparkSession, d: str) -> DataFrame:
     return found.select("project_id", "fqcn", F.posexplode("relationships").alias("pos", "r")).select("project_id", "fqcn", "pos", "r.*")
 
 
-@query()
-def x13_polymorphic_facts(spark: SparkSession, d: str) -> DataFrame:
-    return X.polymorphic_facts(X.models(X.classes_with_methods(X.php_files(table(spark, d, "source_files")))))
-
-
 @query()
 def s11_class_index(spark: SparkSession, d: str) -> DataFrame:
     return X.class_index(X.php_files(table(spark, d, "source_files"))).drop("source_text", "imports")
@@ -269,12 +264,20 @@ def j4_matched_controllers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT DISTINCT method_id, unnest(scopes_used) AS s FROM controller_methods), known AS (SELECT DISTINCT s.name AS name FROM u WHERE s."on" IS NOT NULL)
-SELECT DISTINCT method_id, s.name AS name FROM u WHERE s.name IN (SELECT name FROM known)"""
+    """WITH m AS (SELECT method_id, any_value(project_id) AS project_id, any_value(scopes_used) AS u FROM controller_methods GROUP BY method_id),
+u AS (SELECT method_id, project_id, unnest(u) AS s, generate_subscripts(u, 1) AS n FROM m), o AS (SELECT project_id, s.name AS name, count(DISTINCT s."on") AS c, min(s."on") AS owner FROM u WHERE s."on" IS NOT NULL GROUP BY ALL)
+SELECT m.method_id, coalesce(string_agg(u.s.name || coalesce('@' || CASE WHEN o.c = 1 THEN o.owner END, ''), ',' ORDER BY n) FILTER (WHERE o.name IS NOT NULL), '') AS scopes
+FROM m LEFT JOIN u USING (method_id) LEFT JOIN o ON o.project_id = u.project_id AND o.name = u.s.name GROUP BY m.method_id"""
 )
 def j5_known_scopes(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "controller_methods").select("method_id", F.explode("scopes_used").alias("s")).select("method_id", "s.name", F.col("s.on").alias("owner"))
-    return used.join(used.where(F.col("owner").isNotNull()), "name", "left_semi").select("method_id", "name").distinct()
+    """Of each method the scopes that some model of its project declares, with the model where it is one; here whoever is named beside a scope declares it."""
+    from factmill.plans.summary import known_scopes
+
+    m = table(spark, d, "controller_methods").groupBy("method_id").agg(F.first("project_id").alias("project_id"), F.first("scopes_used").alias("scopes_used"))
+    place = {"relative_path": F.col("method_id").cast("string"), "fqcn": F.lit("C"), "class_pos": F.lit(0), "method_pos": F.lit(0)}
+    declared = m.select("project_id", F.explode("scopes_used").alias("s")).where("s.on IS NOT NULL").groupBy("project_id", F.col("s.on").alias("fqcn")).agg(F.collect_set("s.name").alias("scopes"))
+    rows = known_scopes(m.withColumns(place), declared)
+    return rows.select("method_id", _joined(F.transform("scopes_used", lambda s: F.concat(s["name"], F.coalesce(F.concat(F.lit("@"), s["on"]), F.lit(""))))).alias("scopes"))
 
 
 @query(
@@ -379,12 +382,6 @@ def a6_map_last_wins(spark: SparkSession, d: str) -> DataFrame:
     return R.last_wins(rows, ["project_id", "name"], "fqcn", ["fqcn"])
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS info, count(*) FILTER (WHERE event_type = 'signup') AS warn, count(*) FILTER (WHERE event_type NOT IN ('view', 'signup')) AS error FROM events GROUP BY user_id")
-def a8_severity_counts(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.col("event_type")
-    return table(spark, d, "events").groupBy("user_id").agg(F.count_if(kind == "view").alias("info"), F.count_if(kind == "signup").alias("warn"), F.count_if(~kind.isin("view", "signup")).alias("error"))
-
-
 @query(f"SELECT project_id, fqcn, string_agg(method_name, ',' ORDER BY method_name) AS methods FROM {_M} GROUP BY ALL")
 def a9_methods_by_controller(spark: SparkSession, d: str) -> DataFrame:
     return R.sorted_set(_methods(spark, d), ["project_id", "fqcn"], "method_name", "methods").withColumn("methods", _joined(F.col("methods")))
@@ -414,11 +411,6 @@ def a15_cache_hits(spark: SparkSession, d: str) -> DataFrame:
     return f.join(e, keys, "left").groupBy("project_id").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"))
 
 
-@query("SELECT l_orderkey, bool_or(l_discount > 0.05) AS partial FROM lineitem GROUP BY l_orderkey")
-def a16_bool_or(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_discount") > 0.05).alias("partial"))
-
-
 # -- order, repeats, set operations
 
 
@@ -433,11 +425,6 @@ def d2_consecutive_dedup(spark: SparkSession, d: str) -> DataFrame:
     return R.drop_consecutive(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
-def o3_sorted_limit(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(100)
-
-
 @query(
     """WITH f AS (SELECT DISTINCT project_id, relative_path FROM source_files), r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY relative_path) AS n, count(*) OVER (PARTITION BY project_id) AS c FROM f)
 SELECT project_id, relative_path, c >= 20 AS partial FROM r WHERE n <= 20"""
@@ -466,15 +453,8 @@ def u3_except(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti").distinct()
 
 
-@query("SELECT l_orderkey, l_linenumber FROM (SELECT *, CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END AS t FROM lineitem) QUALIFY t = min(t) OVER (PARTITION BY l_orderkey)")
-def b0_tier_cascade(spark: SparkSession, d: str) -> DataFrame:
-    flag = F.col("l_returnflag")
-    rows = table(spark, d, "lineitem").withColumn("t", F.when(flag == "R", 1).when(flag == "A", 2).otherwise(3))
-    return R.best_tier(rows, ["l_orderkey"], "t").select("l_orderkey", "l_linenumber")
-
-
 @query("SELECT sha256(text) AS digest, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
-def k3_text_digests(spark: SparkSession, d: str) -> DataFrame:
+def t19_text_digests(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where(F.col("text").isNotNull())
     return rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies")).where("copies > 1")
 
@@ -484,11 +464,6 @@ def k4_rfc3339(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"))
 
 
-@query("SELECT event_id, props->>'$.k' AS k FROM events")
-def s10_event_props(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
-
-
 @query(
     rf"""SELECT class_id, regexp_extract(fqcn, '([^\\]*)$', 1) AS name, regexp_replace(regexp_extract(fqcn, '([^\\]*)$', 1), '(?:Controller|Resource|Collection)+$', '') AS bare,
   regexp_replace(regexp_extract(fqcn, '([^\\]*)$', 1), 's$', '') AS one, concat_ws('\', nullif(namespace, ''), class_name) AS qualified FROM {_C}"""
@@ -529,53 +504,6 @@ def c3_route_contract(spark: SparkSession, d: str) -> DataFrame:
     return answer(X.php_files(table(spark, d, "source_files")), _runtime_routes(spark, d), F.lit("request"), F.lit("fingerprint"))
 
 
-def _contract_actions(spark: SparkSession, d: str) -> DataFrame:
-    from factmill.plans.contract import ACTION, actions
-    from factmill.plans.summary import project_facts
-
-    files = X.php_files(table(spark, d, "source_files"))
-    routes = _runtime_routes(spark, d).where(F.col("action_key").isNotNull()).groupBy(*ACTION).agg(F.array_sort(F.collect_list(F.struct("pos", "methods", "middleware"))).alias("routes"))
-    rows = actions(project_facts(files), X.class_index(files)).join(routes, ACTION, "left")
-    none = F.array().cast(dict(rows.dtypes)["routes"])
-    return rows.withColumn("routes", F.coalesce("routes", none)).withColumn("bound", F.size("routes") > 0)
-
-
-@query()
-def r0_request_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Every field of every action's request, as registered, before the merge."""
-    from factmill.plans.contract import request_fields
-
-    index = X.class_index(X.php_files(table(spark, d, "source_files")))
-    return request_fields(_contract_actions(spark, d), index, R.ancestry(index.select("project_id", "fqcn", "extends")))
-
-
-@query()
-def b0_responses(spark: SparkSession, d: str) -> DataFrame:
-    """Every action's responses, one row each."""
-    from factmill.plans.contract import ACTION, with_authorization, with_responses
-
-    rows = with_responses(with_authorization(_contract_actions(spark, d)))
-    return rows.select(*ACTION, F.posexplode("responses").alias("pos", "r")).select(*ACTION, "pos", "r.kind", "r.status", "r.explicit", "r.contentType", "r.bodySchema", "r.source", "r.via")
-
-
-@query()
-def z1_authorization(spark: SparkSession, d: str) -> DataFrame:
-    """Every action's authorization, one row each."""
-    from factmill.plans.contract import ACTION, with_authorization
-
-    rows = with_authorization(_contract_actions(spark, d))
-    return rows.select(*ACTION, F.posexplode("authorization").alias("pos", "a")).select(*ACTION, "pos", "a.*")
-
-
-@query()
-def c5_resources(spark: SparkSession, d: str) -> DataFrame:
-    """The schema of every resource class."""
-    from factmill.plans.contract import contract_resources
-
-    files = X.php_files(table(spark, d, "source_files"))
-    return contract_resources(X.class_index(files), X.models(X.classes_with_methods(files)))
-
-
 @query(
     rf"""WITH b AS (SELECT method_id, b FROM {_BODIES} WHERE b IS NOT NULL), r AS (SELECT method_id, unnest(list_concat(regexp_extract_all(b, '\babort\(\s*([^,\)]+)', 1), regexp_extract_all(b, '(?s)\babort_(?:unless|if)\(.*?,\s*([^,\)]+)', 1))) AS s FROM b)
 SELECT DISTINCT method_id, try_cast(trim(s) AS INT) AS status FROM r WHERE try_cast(trim(s) AS INT) IS NOT NULL"""

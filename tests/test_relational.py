@@ -37,12 +37,10 @@ def test_merges(spark, rows):
     assert rows(df.where("o > 1").groupBy("k").agg(R.merged_kind("kind", ["o"]).alias("kind"))) == [(1, "collection")]
 
 
-def test_match_and_tiers(spark, rows):
+def test_match(spark, rows):
     routes = spark.createDataFrame([(1, "controller_method", "A::a"), (2, "controller_method", "A::b"), (3, "closure", None), (4, None, "A::a"), (5, "invokable_controller", None)], "i int, action_kind string, action_key string")
     got = rows(R.match_routes(routes, spark.createDataFrame([("A::a",), ("A::a",)], "action_key string")), "i", "match_status", "reason_code")
     assert got == [(1, "matched", None), (2, "missing_static", "missing_static_action"), (3, "runtime_only", "closure_action"), (4, "unsupported", "unknown_action"), (5, "missing_static", "missing_static_action")]
-    tiers = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (1, 1, "c"), (2, 5, "d")], "k int, t int, v string")
-    assert [r[2] for r in rows(R.best_tier(tiers, ["k"], "t"))] == ["b", "c", "d"]
 
 
 def test_subclasses_end_on_loops(spark, rows):
