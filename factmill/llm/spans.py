@@ -387,3 +387,20 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_chars, shared_chars, partners): one row per document, 0 and 0 where it shares nothing; n_chars is null with the text."""
     docs = table(spark, sf_dir, "documents")
     return all_amounts(docs, maximal_repeats(docs))
+
+
+# Brute force: every window of 200 characters that occurs in several documents.
+_WINDOWS_SQL = """
+WITH w AS (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200),
+s AS (SELECT doc_id, i, substr(text, i, 200) AS g FROM w),
+k AS (SELECT DISTINCT doc_id, g FROM s WHERE g IN (SELECT g FROM s GROUP BY g HAVING count(DISTINCT doc_id) > 1)),
+p AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.g = b.g AND a.doc_id <> b.doc_id)
+"""
+P8_FOUND_SQL = _WINDOWS_SQL + "SELECT a AS doc_id_a, b AS doc_id_b FROM p WHERE a < b"
+P8_SHARED_SQL = (
+    _WINDOWS_SQL
+    + """, c AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM s WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM k)),
+m AS (SELECT doc_id, sum(CASE WHEN n < i + 200 THEN n - i ELSE 200 END) AS shared FROM c GROUP BY doc_id), q AS (SELECT a AS doc_id, count(*) AS partners FROM p GROUP BY a)
+SELECT d.doc_id, length(d.text) AS n_chars, CAST(coalesce(m.shared, 0) AS BIGINT) AS shared_chars, coalesce(q.partners, 0) AS partners FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
+)
