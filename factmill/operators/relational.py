@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factmill.operators.hierarchy import ancestor_paths, numbered
+from factmill.operators.hierarchy import FRAGMENT_ROWS, ancestor_paths, numbered
 
 
 def _at(order: Sequence[str]) -> Column:
@@ -120,7 +120,7 @@ def ancestry(classes: DataFrame) -> DataFrame:
     up = ids.select(F.col("project_id").alias("__p"), F.col("fqcn").alias("__f"), F.col("id").alias("parent"))
     linked = ids.join(up, (F.col("project_id") == F.col("__p")) & (F.col("extends") == F.col("__f")), "left")
     # On loops, and below them, every class of the loop is an ancestor.
-    tree = ancestor_paths(linked.select("id", "parent", F.xxhash64("project_id").alias("local")))
+    tree = ancestor_paths(linked.select("id", "parent", F.xxhash64("project_id").alias("local")), FRAGMENT_ROWS)
     at = ids.select(F.col("id").alias("__i"), F.col("extends").alias("base")).where(F.col("base").isNotNull())
     bases = tree.select("id", F.explode("path").alias("__i")).join(at, "__i").select("id", "base")
     return ids.select("project_id", "fqcn", "id").join(bases, "id").select("project_id", "fqcn", "base").distinct()

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.operators import incremental
 from factmill.operators.incremental import Conflict, StateTarget, final_status, unheld, unprocessed_files
 
 FILES = "file_id long, project_id string, relative_path string, modified_ms long, size_bytes long, sha256 string, kind string, d string"
@@ -117,15 +118,16 @@ def test_of_two_interleaved_writers_one_fails_and_loses_nothing(spark, rows, tmp
     assert left == set(one.parts(2))
 
 
-def test_runs_write_changes_only_and_parts_are_merged(spark, rows, tmp_path):
+def test_runs_write_changes_only_and_parts_are_merged(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "MOST_PARTS", 3)
     t = _target(spark, tmp_path)
     state = {k: (1, "a") for k in range(3)}
-    for n in range(2, 13):
+    for n in range(2, 8):
         state[n % 3] = (n, "b")
         state[100 + n] = (n, "c")
         version = t.run(_kv(spark, *[(k, *x) for k, x in state.items()]), lambda df: df)
         assert rows(t.read()) == sorted([(k, *x) for k, x in state.items()], key=str)
-        assert version == n - 1 and len(t.parts(version)) <= 8
+        assert version == n - 1 and len(t.parts(version)) <= 3
     assert t.run(_kv(spark, *[(k, *x) for k, x in state.items()]), lambda df: df) == version  # nothing to do
     assert t.run(_kv(spark, (None, 1, "n"), (None, 1, "n"), (5, 5, "e")), lambda df: df) == version + 1
     assert t.run(_kv(spark, (None, 2, "m"), (5, 5, "e")), lambda df: df) == version + 2

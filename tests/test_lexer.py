@@ -98,7 +98,8 @@ def test_schemas():
     got = S.of_value("Book::with(['notes:id', 'author'])->get()", of)
     assert got["items"]["properties"] == {"author": {"type": "object"}, "notes": {"type": "array", "items": {"type": "object", "properties": {"text": {"type": "string"}}}}, "title": {"type": "string"}}
     assert S.of_value("$b->fresh()", of)["properties"] == {"title": {"type": "string"}} and S.of_value("Book::paginate(3)", of)["properties"]["data"]["type"] == "array"
-    assert S.merged({"type": "object", "properties": {"a": {"type": "string"}}}, {"type": "object", "properties": {"b": {"type": "integer"}}})["properties"].keys() == {"a", "b"}
+    base = {"type": "object", "properties": {"a": {"type": "string"}, "c": {"type": "object"}}}
+    assert S.with_properties(base, {"type": "object", "properties": {"b": {"type": "integer"}, "a": {"type": "number"}}})["properties"] == {"a": {"type": "number"}, "b": {"type": "integer"}, "c": {"type": "object"}}
     assert S.of_cast("datetime:Y") == {"type": "string", "format": "date-time"} and S.of_cast("json")["type"] == "array"
     assert v("[" * 100 + "]" * 100)["type"] == "array"
     assert S.inertia_call("/* Inertia::render('No') */ return Inertia::render('Yes', ['a' => 1]);", at) == ("Yes", {"type": "object", "properties": {"a": {"type": "integer"}}})
