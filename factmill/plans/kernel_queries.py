@@ -612,8 +612,9 @@ def r4_rule_fields(spark: SparkSession, d: str) -> DataFrame:
     rules = F.when(k == 0, "'required|integer|max:9'").when(k == 1, "['required', 'string', Rule::in(['b', 'a'])]").otherwise("'required|array'")
     body = _lit_concat("{ $request->validate(['f", F.col("p_size"), "' => ", rules, "]); }")
     rows = table(spark, d, "part").select(
-        F.col("p_partkey").alias("project_id"), F.lit("a").alias("action_key"), body.alias("body_text"), F.lit("").alias("class_source"), F.array().cast(f"array<{P.USAGE}>").alias("request_usage"), F.array().cast("array<struct<fqcn:string,source:string>>").alias("forms")
-    )
+        F.col("p_partkey").alias("project_id"), F.lit("a").alias("action_key"), body.alias("body_text"), F.lit("").alias("class_source"), F.array().cast(f"array<{P.USAGE}>").alias("request_usage"), F.array().cast("array<struct<fqcn:string,source:string>>").alias("forms"),
+        F.lit("").alias("namespace"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("imports"),
+    )
     rows = request_fields(rows)
     return rows.select(F.col("project_id").alias("p_partkey"), "path", "type", "required", _joined(F.col("wrappers")).alias("wrappers"), _joined(F.col("allowedValues")).alias("allowed"))
 
