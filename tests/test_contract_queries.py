@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factmill.plans import catalog
-from factmill.plans.contract_queries import _files
+from factmill.plans.contract_queries import _actions, _application, _files
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -18,8 +18,15 @@ def test_texts_are_made_in_many_tasks(spark):
     assert len(at) > 1
 
 
-@pytest.mark.parametrize("name", ["c4_models", "c5_resources"])
+@pytest.mark.parametrize("name", ["c4_models", "c5_resources", "z1_authorization"])
 def test_plan_starts_from_written_texts(spark, name):
     """Planned from ``part`` the texts seem as small as its keys, and joins broadcast them."""
     read = catalog.QUERIES[name](spark, DATA).inputFiles()
     assert read and not [f for f in read if "/part.parquet" in f]
+
+
+def test_texts_are_not_broadcast(spark):
+    """Before, these joins broadcast whatever was written small, however much memory it takes."""
+    rows = _actions(*_application(spark, DATA))[0]
+    said = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert said.count("strategy=merge") >= 5
