@@ -18,7 +18,7 @@ def test_texts_are_made_in_many_tasks(spark):
     assert len(at) > 1
 
 
-@pytest.mark.parametrize("name", ["c4_models", "c5_resources", "z1_authorization"])
+@pytest.mark.parametrize("name", ["c4_models", "c5_resources", "z1_authorization", "r0_request_fields", "b0_responses"])
 def test_plan_starts_from_written_texts(spark, name):
     """Planned from ``part`` the texts seem as small as its keys, and joins broadcast them."""
     read = catalog.QUERIES[name](spark, DATA).inputFiles()
