@@ -30,3 +30,9 @@ def test_texts_are_not_broadcast(spark):
     rows = _actions(*_application(spark, DATA))[0]
     said = rows._jdf.queryExecution().optimizedPlan().toString()
     assert said.count("strategy=merge") >= 5
+
+
+def test_document_is_put_together_from_written_lists(spark):
+    """Before, one plan held all lists of the document and filled the driver."""
+    read = catalog.QUERIES["c3_route_contract"](spark, DATA).inputFiles()
+    assert [f for f in read if "/list_controllers-" in f] and not [f for f in read if "/index-" in f]
