@@ -36,3 +36,22 @@ def test_document_is_put_together_from_written_lists(spark):
     """Before, one plan held all lists of the document and filled the driver."""
     read = catalog.QUERIES["c3_route_contract"](spark, DATA).inputFiles()
     assert [f for f in read if "/list_controllers-" in f] and not [f for f in read if "/index-" in f]
+
+
+@pytest.fixture
+def broadcasting(spark):
+    """Whatever is planned is small enough to be broadcast, as is what compresses well at any size."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "8g")
+    yield
+    spark.conf.set(key, was)
+
+
+def _broadcasts(df):
+    return df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+
+
+def test_resources_are_merged_with_their_models(spark, broadcasting):
+    """Before, the relations of all models, written small, were broadcast and filled the driver."""
+    assert _broadcasts(catalog.QUERIES["c5_resources"](spark, DATA)) == 0
