@@ -6,6 +6,8 @@ nodes other fragments exit to form a smaller forest with weighted links, which
 is solved the same way, with fragments of the same size; its answers are then
 joined back to extend every fragment-local answer. Fragments follow chains
 upward, so every level leaves about half of the nodes of even one long chain.
+Sides with a row per node are merged, never broadcast: ids are written in a
+small part of the memory they take, and Spark plans by what is written.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def _clusters(links: DataFrame, level: int) -> DataFrame:
     """
     near = links.select("id", F.when(_is_centre("id", level), F.col("id")).when(_is_centre("parent", level), F.col("parent")).alias("centre"), F.col("parent").alias("up"))
     for _ in range(2):
-        above = near.select(F.col("id").alias("__a"), F.col("centre").alias("__c"), F.col("up").alias("__u"))
+        above = near.select(F.col("id").alias("__a"), F.col("centre").alias("__c"), F.col("up").alias("__u")).hint("merge")
         near = near.join(above, F.col("up") == F.col("__a"), "left").select("id", F.coalesce("centre", "__c").alias("centre"), F.col("__u").alias("up"))
     return near.select("id", F.coalesce("centre", "id").alias("centre"))
 
@@ -109,7 +111,7 @@ def _fragments(links: DataFrame, size: int | None, level: int) -> tuple[DataFram
     bushy = F.broadcast(near.groupBy("centre").count().where(F.col("count") > size))
     salt = F.coalesce(F.pmod(F.xxhash64("id", F.lit(-1)), F.ceil(F.col("count") / size)), F.lit(0))
     near = near.join(bushy, "centre", "left").select(F.col("id").alias("__i"), F.pmod(F.xxhash64("centre", salt), number).alias("frag"))
-    cut = cut.join(near, F.col("id") == F.col("__i")).drop("__i")
+    cut = cut.join(near.hint("merge"), F.col("id") == F.col("__i")).drop("__i")
     return links.join(large, "local", "left_anti").withColumn("frag", whole).unionByName(cut), size
 
 
@@ -124,11 +126,11 @@ def _solve(links: DataFrame, size: int | None, with_path: bool, level: int) -> D
     exits = local.where(F.col("exit").isNotNull())
     if exits.isEmpty():
         return done
-    heads = exits.select(F.col("exit").alias("id")).distinct()
+    heads = exits.select(F.col("exit").alias("id")).distinct().hint("merge")
     # Solved heads are ends of the smaller forest, the others keep their weighted link.
     smaller = local.join(heads, "id", "left_semi").select(F.col("id"), "local", F.col("exit").alias("parent"), "dist", "low", "root", "depth", "seg")
     above = _solve(materialize(smaller, f"quotient{level}"), size, with_path, level + 1)
-    above = above.select(F.col("id").alias("exit"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("seg").alias("s"))
+    above = above.select(F.col("id").alias("exit"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("seg").alias("s")).hint("merge")
     joined = exits.join(above, "exit").select(
         "id", F.col("r").alias("root"), F.when(F.col("d") < 0, F.lit(-1).cast("bigint")).otherwise(F.col("d") + F.col("dist")).alias("depth"), F.concat("s", "seg").alias("seg")
     )
@@ -151,7 +153,7 @@ def resolve_forest(links: DataFrame, fragment_rows: int | None = None, with_path
     empty one. ``fragment_rows`` is the size of the fragments on all levels;
     by default there are four for every task, of ``FRAGMENT_ROWS`` at most.
     """
-    known = links.select(F.col("id").alias("__i"))
+    known = links.select(F.col("id").alias("__i")).hint("merge")
     rows = links.select("id", F.coalesce(F.col("local").cast("bigint"), F.lit(0)).alias("local"), "parent").join(known, F.col("parent") == F.col("__i"), "left").select(
         "id",
         "local",
@@ -174,7 +176,7 @@ def loop_paths(links: DataFrame, tree: DataFrame, fragment_rows: int | None = No
     member that is reached last, then the chain down from it. Of a loop's member
     it is the loop, of a node that names itself only that node.
     """
-    bound = tree.where(F.col("depth") < 0).select(F.col("id").alias("__i"), F.col("root").alias("loop"))
+    bound = tree.where(F.col("depth") < 0).select(F.col("id").alias("__i"), F.col("root").alias("loop")).hint("merge")
     rows = materialize(links.join(bound, F.col("id") == F.col("__i")).select("id", "parent", "local", "loop"), "loop_links")
     if rows.isEmpty():
         return tree.where(F.col("depth") < 0)

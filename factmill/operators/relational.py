@@ -114,15 +114,16 @@ def ancestry(classes: DataFrame) -> DataFrame:
     """(project_id, fqcn, base): every class with itself's and all its ancestors' ``extends``, loops ending where they close.
 
     ``classes`` is (project_id, fqcn, extends), one row per class. A class is a
-    subclass of whatever base it is listed with, known or not.
+    subclass of whatever base it is listed with, known or not. Sides with a row per
+    class are merged, as in ``resolve_forest``.
     """
     ids = numbered(classes.select("project_id", "fqcn", "extends"))
-    up = ids.select(F.col("project_id").alias("__p"), F.col("fqcn").alias("__f"), F.col("id").alias("parent"))
+    up = ids.select(F.col("project_id").alias("__p"), F.col("fqcn").alias("__f"), F.col("id").alias("parent")).hint("merge")
     linked = ids.join(up, (F.col("project_id") == F.col("__p")) & (F.col("extends") == F.col("__f")), "left")
     # On loops, and below them, every class of the loop is an ancestor.
     tree = ancestor_paths(linked.select("id", "parent", F.xxhash64("project_id").alias("local")), FRAGMENT_ROWS)
-    at = ids.select(F.col("id").alias("__i"), F.col("extends").alias("base")).where(F.col("base").isNotNull())
-    bases = tree.select("id", F.explode("path").alias("__i")).join(at, "__i").select("id", "base")
+    at = ids.select(F.col("id").alias("__i"), F.col("extends").alias("base")).where(F.col("base").isNotNull()).hint("merge")
+    bases = tree.select("id", F.explode("path").alias("__i")).join(at, "__i").select("id", "base").hint("merge")
     return ids.select("project_id", "fqcn", "id").join(bases, "id").select("project_id", "fqcn", "base").distinct()
 
 

@@ -5,6 +5,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.operators import hierarchy
+from factmill.operators import relational as R
 from factmill.plans import catalog
 from factmill.plans.contract_queries import _actions, _application, _files
 
@@ -55,3 +57,18 @@ def _broadcasts(df):
 def test_resources_are_merged_with_their_models(spark, broadcasting):
     """Before, the relations of all models, written small, were broadcast and filled the driver."""
     assert _broadcasts(catalog.QUERIES["c5_resources"](spark, DATA)) == 0
+
+
+def test_ancestry_is_merged(spark, broadcasting, monkeypatch):
+    """Before, the ids of all classes, written small, were broadcast and filled the driver of r0_request_fields."""
+    write, found = hierarchy.materialize, {}
+
+    def recorded(df, name):
+        found[name] = _broadcasts(df)
+        return write(df, name)
+
+    monkeypatch.setattr(hierarchy, "materialize", recorded)
+    rows = [("p", "A", None), ("p", "B", "A"), ("p", "C", "B"), ("p", "X", "Y"), ("p", "Y", "X"), ("p", "Z", "Y")]
+    bases = R.ancestry(spark.createDataFrame(rows, "project_id string, fqcn string, extends string"))
+    assert "forest_links" in found and "loop_links" in found and not any(found.values())
+    assert sorted(r.fqcn for r in R.descending(bases, "A").collect()) == ["B", "C"]
