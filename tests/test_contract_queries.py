@@ -1,10 +1,12 @@
 """Queries over the application made from the parts are spread over tasks, and their texts are written once."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from factmill.operators import extraction as X
 from factmill.operators import hierarchy
 from factmill.operators import relational as R
 from factmill.plans import catalog
@@ -72,3 +74,16 @@ def test_ancestry_is_merged(spark, broadcasting, monkeypatch):
     bases = R.ancestry(spark.createDataFrame(rows, "project_id string, fqcn string, extends string"))
     assert "forest_links" in found and "loop_links" in found and not any(found.values())
     assert sorted(r.fqcn for r in R.descending(bases, "A").collect()) == ["B", "C"]
+
+
+def test_forms_of_actions_are_merged(spark):
+    """Before, the join with the sources of the actions' forms was left to the threshold."""
+    said = catalog.QUERIES["z1_authorization"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < len(re.findall(r"Join (?:LeftOuter|Inner)", said)) == said.count("strategy=merge")
+
+
+def test_texts_are_parsed_once(spark):
+    """Before, Spark asked for the size of a list that is exploded first, and parsed every text once for that and once for the list."""
+    parses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    assert parses(catalog.QUERIES["z1_authorization"](spark, DATA)) == 1
+    assert parses(X.controller_methods(X.classes_with_methods(_files(spark, DATA)))) == 1
